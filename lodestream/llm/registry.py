@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import mixing
+from lodestream.llm import mixing, patricia
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_mixing": mixing.op7_mixing}
+    return {
+        "op7_mixing": mixing.op7_mixing,
+        "op9_exact_dedup": patricia.op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {
+        "op7_mixing": mixing.OP7_SQL,
+        "op9_exact_dedup": patricia.OP9_SQL,
+    }
