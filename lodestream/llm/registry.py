@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import bpe, mixing, patricia
+from lodestream.llm import bpe, mixing, patricia, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_bpe": bpe.op4_bpe,
         "op7_mixing": mixing.op7_mixing,
         "op9_exact_dedup": patricia.op9_exact_dedup,
