@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import bpe, mixing, patricia, toxicity
+from lodestream.llm import bpe, mixing, patricia, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_minhash": superminhash.op3_minhash,
         "op4_bpe": bpe.op4_bpe,
         "op7_mixing": mixing.op7_mixing,
         "op9_exact_dedup": patricia.op9_exact_dedup,
