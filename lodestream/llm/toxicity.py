@@ -14,6 +14,7 @@ text column are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -85,42 +86,39 @@ class Model:
         return total / np.maximum(np.bincount(owner, minlength=len(words)), 1)
 
 
-def _design(texts: list[str]):
-    """The sample as a sparse matrix documents x buckets: row, bucket, value."""
-    number: dict[str, int] = {}
-    row, col = [], []
-    for i, text in enumerate(texts):
-        ids = [number.setdefault(c, len(number)) for c in map(core, words_of(text)) if c]
-        row.append(np.full(len(ids), i))
-        col.append(np.array(ids, np.int64))
-    row, col = np.concatenate(row), np.concatenate(col)
-    length = np.maximum(np.bincount(row, minlength=len(texts)), 1)
-    pair, count = np.unique(row * np.int64(len(number) or 1) + col, return_counts=True)
-    row, col = pair // (len(number) or 1), pair % (len(number) or 1)
-    bucket, owner = ngram_buckets(list(number)) if number else (np.zeros(0, np.int64),) * 2
-    order = np.argsort(owner, kind="stable")
-    bucket, per_word = bucket[order], np.bincount(owner, minlength=len(number))
-    start = np.cumsum(per_word) - per_word
-    rows, cols, values = [], [], []
-    for at in range(0, len(pair), 200_000):  # expand by parts, so that memory stays bounded
-        r, c, n = row[at : at + 200_000], col[at : at + 200_000], count[at : at + 200_000]
-        k = per_word[c]
+def _design(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sample as a sparse matrix documents x buckets, by parts of a few documents: row, bucket, value."""
+    for part in slices(texts, 400_000):
+        number: dict[str, int] = {}
+        row, col = [], []
+        for i in range(part.start, part.stop):
+            ids = [number.setdefault(c, len(number)) for c in map(core, words_of(texts[i])) if c]
+            row.append(np.full(len(ids), i))
+            col.append(np.array(ids, np.int64))
+        if not number:
+            continue
+        row, col = np.concatenate(row), np.concatenate(col)
+        length = np.maximum(np.bincount(row, minlength=part.stop), 1)
+        pair, count = np.unique(row * np.int64(len(number)) + col, return_counts=True)
+        row, col = pair // len(number), pair % len(number)
+        bucket, owner = ngram_buckets(list(number))
+        bucket = bucket[np.argsort(owner, kind="stable")]
+        per_word = np.bincount(owner, minlength=len(number))
+        start = np.cumsum(per_word) - per_word
+        k = per_word[col]
         inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        b = bucket[np.repeat(start[c], k) + inner]
-        v = np.repeat(n / (length[r] * np.maximum(k, 1)), k)
-        key, back = np.unique(np.repeat(r, k) * BUCKETS + b, return_inverse=True)
-        rows.append(key // BUCKETS)
-        cols.append(key % BUCKETS)
-        values.append(np.bincount(back, v, len(key)))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-
-
-def telling(row: np.ndarray, col: np.ndarray, y: np.ndarray, min_docs: int, min_z: float) -> np.ndarray:
+        b = bucket[np.repeat(start[col], k) + inner]
+        v = np.repeat(count / (length[row] * np.maximum(k, 1)), k)
+        key, back = np.unique(np.repeat(row, k) * BUCKETS + b, return_inverse=True)
+        yield (key // BUCKETS).astype(np.int32), (key % BUCKETS).astype(np.int32), np.bincount(back, v, len(key)).astype(np.float32)
+
+
+def telling(parts: list, y: np.ndarray, min_docs: int, min_z: float) -> np.ndarray:
     """The buckets whose share of documents differs between the classes by min_z standard errors."""
-    in_one = np.bincount(col[y[row] == 1], minlength=BUCKETS)
-    in_any = np.bincount(col, minlength=BUCKETS)
+    in_one, in_any = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row, col, _ in parts:
+        in_one += np.bincount(col[y[row] == 1], minlength=BUCKETS)
+        in_any += np.bincount(col, minlength=BUCKETS)
     ones, zeros = (y == 1).sum(), (y == 0).sum()
     share = in_any / len(y)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / zeros))
@@ -137,12 +135,12 @@ def fit(texts: list[str], labels: list[int], *, width: int = 8, steps: int = 60,
     y = np.asarray(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), -50.0, scale)
-    row, col, value = _design(texts)
-    seen = telling(row, col, y, min_docs, min_z)
+    parts = list(_design(texts))
+    seen = telling(parts, y, min_docs, min_z)
     place = np.full(BUCKETS, -1)
     place[seen] = np.arange(len(seen))
-    used = place[col] >= 0
-    row, col, value = row[used], place[col[used]], value[used] * scale
+    parts = [(row[u], place[col[u]], value[u] * scale) for row, col, value in parts for u in [place[col] >= 0]]
+    row, col, value = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
     random = np.random.default_rng(seed)
     params = {"embed": np.zeros((len(seen), width)), "soft": random.normal(0, width**-0.5, (width, 2)), "bias": np.zeros(2)}
     first = {k: np.zeros_like(v) for k, v in params.items()}
@@ -171,6 +169,10 @@ def fit(texts: list[str], labels: list[int], *, width: int = 8, steps: int = 60,
 _SCORES: dict[bytes, dict[str, float]] = {}
 
 
+def _name(model: bytes) -> bytes:
+    return hashlib.sha256(model).digest()
+
+
 class Scorer:
     """Scores texts with the words' cache of one Python worker."""
 
@@ -221,7 +223,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         gain, bias, scale = pickle.loads(sent.value)
-        scorer = Scorer(Model(gain.astype(np.float64), bias, scale), sent.value[:4096] + sent.value[-64:] + gain.tobytes()[:: 4096 * 4 + 4])
+        scorer = Scorer(Model(gain.astype(np.float64), bias, scale), _name(sent.value))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in slices(texts):
@@ -232,6 +234,24 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
+def without_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, with the columns of docs."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(pickle.dumps((model.gain.astype(np.float32), model.bias, model.scale)))
+    at = docs.columns.index(text)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        gain, bias, scale = pickle.loads(sent.value)
+        scorer = Scorer(Model(gain.astype(np.float64), bias, scale), _name(sent.value))
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for part in slices(texts):
+                clean = scorer.scores(texts[part]) < threshold
+                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """Rows whose labels are never learnt from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
