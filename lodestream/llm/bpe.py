@@ -237,7 +237,7 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", outputs:
     schema = pa.schema([(o, _ARROW[o]) for o in wanted])
     make = {
         "n_tokens": lambda ids, decoded: ids.count(" ") + 1 if ids else 0,
-        "ids": lambda ids, decoded: [int(x) for x in ids.split()],
+        "ids": lambda ids, decoded: np.fromstring(ids, np.int32, sep=" "),
         "decoded": lambda ids, decoded: decoded,
         "ids_sha256": lambda ids, decoded: hashlib.sha256(ids.encode()).hexdigest(),
         "decoded_sha256": lambda ids, decoded: hashlib.sha256(decoded.encode()).hexdigest(),
