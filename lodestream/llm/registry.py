@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import bpe, mixing, patricia, superminhash, toxicity
+from lodestream.llm import bpe, html_extract, mixing, patricia, repair, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,9 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_minhash": superminhash.op3_minhash,
         "op4_bpe": bpe.op4_bpe,
+        "op5_token_files": repair.op5_token_files,
         "op7_mixing": mixing.op7_mixing,
+        "op8_html": html_extract.op8_html,
         "op9_exact_dedup": patricia.op9_exact_dedup,
     }
 
