@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import bpe, html_extract, mixing, patricia, repair, superminhash, toxicity
+from lodestream.llm import bpe, html_extract, iblt, mixing, patricia, repair, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op7_mixing": mixing.op7_mixing,
         "op8_html": html_extract.op8_html,
         "op9_exact_dedup": patricia.op9_exact_dedup,
+        "op10_fingerprints": iblt.op10_fingerprints,
     }
 
 
