@@ -27,10 +27,10 @@ PIECE = 80
 #: Cells in each third of a sketch; a power of two.
 SIDE = 8
 #: Digests of both versions that one sketch takes on average at most.
-LOAD = 8
+LOAD = 12
 ROUNDS, LEVELS = 8, 4
 #: Documents in one range of keys, and ranges at most (their bounds are held by the driver).
-RANGE_ROWS, MOST_RANGES = 4000, 20_000
+RANGE_ROWS, MOST_RANGES = 1000, 20_000
 
 _SHIFT = (0, 3, 24, 27)  # where a level's cell numbers lie in a digest
 
@@ -41,11 +41,16 @@ def digests(text: str) -> str:
     return f"array_sort(array_distinct(transform({pieces}, x -> xxhash64(x))))"
 
 
+def _places(level: int) -> list[tuple[int, int]]:
+    """For each cell the bits of a digest that choose it, and what they are then."""
+    shifts = [_SHIFT[level] + 8 * third for third in range(3)]
+    return [((SIDE - 1) << shift, cell << shift) for shift in shifts for cell in range(SIDE)]
+
+
 def cells(found: str, level: int = 0) -> str:
     """SQL: the cells of an array of digests, struct(n, k, c) each."""
-    place = f"pmod(shiftrightunsigned(d, {_SHIFT[level]} + 8 * cast(i{level} div {SIDE} as int)), {SIDE}) = pmod(i{level}, {SIDE})"
-    lists = f"transform(sequence(0, {3 * SIDE - 1}), i{level} -> filter({found}, d -> {place}))"
-    return f"transform({lists}, l -> named_struct('n', size(l), 'k', aggregate(l, 0L, (a, d) -> a ^ d), 'c', aggregate(l, 0L, (a, d) -> a ^ xxhash64(d, {level}))))"
+    lists = ", ".join(f"filter({found}, d -> (d & {mask}L) = {value}L)" for mask, value in _places(level))
+    return f"transform(array({lists}), l -> named_struct('n', size(l), 'k', aggregate(l, 0L, (a, d) -> a ^ d), 'c', aggregate(l, 0L, (a, d) -> a ^ xxhash64(d, {level}))))"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -56,21 +61,25 @@ def _peeled(a: str, b: str, level: int) -> str:
     """SQL: what is left of the cells of a less those of b after peeling, and how many digests of a alone were found."""
     v = level
     difference = f"zip_with({cells(a, v)}, {cells(b, v)}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
-    pure = f"array_distinct(transform(filter(s{v}.cells, x -> abs(x.n) = 1 and xxhash64(x.k, {v}) = x.c), x -> named_struct('n', x.n, 'k', x.k)))"
-    place = f"pmod(shiftrightunsigned(f.k, {_SHIFT[v]} + 8 * cast(i{v} div {SIDE} as int)), {SIDE}) = pmod(i{v}, {SIDE})"
-    taken = f"transform(s{v}.cells, (x, i{v}) -> aggregate(filter(p{v}, f -> {place}), x, (t, f) -> named_struct('n', t.n - f.n, 'k', t.k ^ f.k, 'c', t.c ^ xxhash64(f.k, {v}))))"
-    step = f"if(size(p{v}) = 0, s{v}, named_struct('cells', {taken}, 'left', s{v}.left + size(filter(p{v}, f -> f.n = 1))))"
-    start = f"named_struct('cells', {difference}, 'left', 0)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s{v}, r) -> {_let(pure, f'p{v}', step)})"
+    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and xxhash64(x.k, {v}) = x.c), x -> named_struct('n', x.n, 'k', x.k)))"
+    less = "(t, f) -> named_struct('n', t.n - f.n, 'k', t.k ^ f.k, 'c', t.c ^ xxhash64(f.k, %d))" % v
+    taken = ", ".join(f"aggregate(filter(p, f -> (f.k & {mask}L) = {value}L), s.cells[{i}], {less})" for i, (mask, value) in enumerate(_places(v)))
+    step = f"if(size(p) = 0, named_struct('cells', s.cells, 'left', s.left, 'done', true), named_struct('cells', array({taken}), 'left', s.left + size(filter(p, f -> f.n = 1)), 'done', false))"
+    start = f"named_struct('cells', {difference}, 'left', 0, 'done', false)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.done, s, {_let(pure, 'p', step)}))"
 
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """df with the common share of two columns of digests; one select a level, so that no expression grows with LEVELS."""
     kept = df.columns
-    tables = f"cast(pow(2, ceil(log2(greatest(1, (size({a}) + size({b})) / {LOAD})))) as int)"
-    part = "pmod(shiftrightunsigned(d, 48), t) = q"
-    pair = f"named_struct('a', filter({a}, d -> {part}), 'b', filter({b}, d -> {part}))"
-    now = df.selectExpr("*", f"{_let(tables, 't', f'transform(sequence(0, t - 1), q -> {pair})')} as __open", "0 as __left")
+    bits = f"cast(ceil(log2(greatest(1, (size({a}) + size({b})) / {LOAD}))) as int)"
+    # by half of the bits first, then each part by the others: a digest is looked at twice the root of the sketches' number
+    now = df.selectExpr("*", f"{bits} as __bits").selectExpr("*", "cast(pow(2, __bits div 2) as int) as __few", "cast(pow(2, __bits - __bits div 2) as int) as __many")
+    for source, at, number, target in ((f"array(named_struct('a', {a}, 'b', {b}))", 48, "__few", "__parts"), ("__parts", 56, "__many", "__open")):
+        chosen = f"pmod(shiftrightunsigned(d, {at}), {number}) = q"
+        pair = f"named_struct('a', filter(x.a, d -> {chosen}), 'b', filter(x.b, d -> {chosen}))"
+        now = now.selectExpr("*", f"flatten(transform({source}, x -> transform(sequence(0, {number} - 1), q -> {pair}))) as {target}")
+    now = now.selectExpr(*kept, "__open", "0 as __left")
     for level in range(LEVELS):
         nothing = "cast(null as array<bigint>)"
         settled = f"named_struct('left', o.left, 'a', {nothing}, 'b', {nothing})"
