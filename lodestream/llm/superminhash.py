@@ -3,9 +3,8 @@
 One scan turns every text into the set of its word shingles (64-bit hashes), a SuperMinHash signature and
 one key per band. Texts with equal sets become one class. Within a bucket each class is compared with the
 bucket's smallest class and with a neighbour in hash order, which links most groups in a number of pairs
-linear in the rows; what is still apart in a bucket is then compared by signature inside tasks, block by
-block, and only likely pairs leave a task, the best of each class first, in growing numbers until none is
-left. Every pair is confirmed on the full sets before it counts.
+linear in the rows. What is still apart in a bucket is then compared on the full sets inside tasks, block by
+block, and only links between groups leave a task. Every link is confirmed on the full sets before it counts.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing; with
 fewer words than a shingle takes, the whole sequence is one shingle; rows that repeat an identifier are
@@ -28,12 +27,10 @@ from lodestream.session import cut
 
 #: Signature length is BANDS x ROWS. At a similarity of 0.8 a pair misses every band with probability 3e-5 (at 0.85: 4e-7).
 BANDS, ROWS = 20, 4
-#: A signature's estimate may lie this far below the threshold (over 4 standard errors) before a pair is passed over.
-SLACK = 0.17
 #: Rows of a bucket that meet in one block; neighbours are taken within parts of this size, too.
 BLOCK = 512
-#: Partners of one class that leave a task in the first round over leftover buckets; each later round takes four times as many.
-FIRST_PARTNERS = 16
+#: Columns of the 0/1 matrices that count common hashes (at most BLOCK rows and those that seek, of 4 bytes each).
+COLUMNS = 8192
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -130,7 +127,7 @@ def superminhash(sets: list[np.ndarray], length: int) -> np.ndarray:
     return slots.reshape(len(sets), length)
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(width: int):
@@ -141,18 +138,16 @@ def _sign(width: int):
                 sets = shingle_sets(texts[part], width)
                 filled = [i for i, s in enumerate(sets) if len(s)]
                 full = superminhash([sets[i] for i in filled], BANDS * ROWS)
-                short = (_mix(full) >> np.uint64(48)).astype(np.uint16)
                 banded = full.reshape(len(filled), BANDS, ROWS)
                 keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(filled), BANDS)).copy()
                 for r in range(ROWS):
                     keys = _mix(keys * _P + banded[:, :, r])
-                signature: list = [None] * len(sets)
                 bands: list = [None] * len(sets)
                 for k, i in enumerate(filled):
-                    signature[i], bands[i] = short[k].tobytes(), keys[k].view(np.int64)
+                    bands[i] = keys[k].view(np.int64)
                 content = [np.array([_mix(s).sum(), _mix(s + _P).sum()], np.uint64).tobytes() for s in sets]
                 ids = batch.column(0).slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
 
     return run
 
@@ -192,47 +187,59 @@ def _groups(batches, keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _likely(partners: int, least: float, ratio: float):
-    """Blocks (bucket, block, id, component, n, wanted, signature) to pairs of classes that are apart and look alike.
-
-    wanted rows look for partners among the block's other rows; each gives its best ones, up to partners.
+def common_counts(sets: list[np.ndarray], seekers: np.ndarray) -> np.ndarray:
+    """How many hashes each of the seekers' sets shares with every set: a product of 0/1 matrices, by columns."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], column[shared]
+    number = np.cumsum(times > 1) - 1
+    column = number[column]
+    width = int((times > 1).sum())
+    out = np.zeros((len(seekers), len(sets)), np.float32)
+    for at in range(0, width, COLUMNS):
+        inside = (column >= at) & (column < at + COLUMNS)
+        part = np.zeros((len(sets), min(COLUMNS, width - at)), np.float32)
+        part[row[inside], column[inside] - at] = 1
+        out += part[seekers] @ part.T
+    return out.astype(np.int64)
+
+
+def _linked(percent: int):
+    """Blocks (bucket, block, id, component, wanted, hashes) to links between classes that are apart so far.
+
+    wanted rows are compared with all rows of the block on their full sets; each gives one link to every other component.
     """
 
-    def pairs(group: pa.Table):
-        ids, component, n = (group.column(k).to_numpy() for k in (2, 3, 4))
-        wanted = group.column(5).to_numpy(zero_copy_only=False).astype(bool)
-        own = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint16).reshape(len(ids), -1)
-        here, first = np.unique(ids, return_index=True)
-        rows = first  # a wanted row may also stand in its own block
-        seek = np.flatnonzero(wanted)
-        seek = seek[np.unique(ids[seek], return_index=True)[1]]
-        for i in seek.tolist():
-            others = rows[(component[rows] != component[i]) & (np.minimum(n[rows], n[i]) >= ratio * np.maximum(n[rows], n[i]))]
-            if len(others):
-                alike = (own[others] == own[i]).mean(1)
-                others, alike = others[alike >= least], alike[alike >= least]
-                if len(others) > partners:
-                    others = others[np.lexsort((ids[others], -alike))[:partners]]
-                for o in others.tolist():
-                    yield min(ids[i], ids[o]), max(ids[i], ids[o]), len(others) >= partners
+    def links(group: pa.Table) -> Iterator[tuple[int, int]]:
+        ids, component = group.column(2).to_numpy(), group.column(3).to_numpy()
+        wanted = group.column(4).to_numpy(zero_copy_only=False).astype(bool)
+        hashes = group.column(5).combine_chunks()
+        sets = [hashes[i].values.to_numpy() for i in range(len(ids))]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        seekers = np.flatnonzero(wanted)
+        if not len(seekers) or (component == component[0]).all():
+            return
+        common = common_counts(sets, seekers)
+        union = sizes[seekers][:, None] + sizes[None, :] - common
+        found, other = np.nonzero((100 * common >= percent * union) & (component[seekers][:, None] != component[None, :]))
+        seen = set()
+        for i, o in zip(seekers[found].tolist(), other.tolist()):
+            if (i, component[o]) not in seen:
+                seen.add((i, component[o]))
+                yield min(ids[i], ids[o]), max(ids[i], ids[o])
 
     def run(batches):
-        found: list[tuple] = []
         for group in _groups(batches, 2):
-            found.extend(pairs(group))
-            if len(found) > 50_000:
-                yield _pair_batch(found)
-                found = []
-        yield _pair_batch(found)
+            found = list(links(group))
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _pair_batch(found: list[tuple]) -> pa.RecordBatch:
-    a, b, more = zip(*found) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b")
@@ -244,10 +251,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: key, n_shingles, component_id (the smallest reachable key, itself included)."""
     source = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))
-    signed = cut(source.mapInArrow(_sign(width), "id long, n long, content binary, signature binary, bands array<long>"))
+    signed = cut(source.mapInArrow(_sign(width), "id long, n long, content binary, bands array<long>"))
     filled = signed.filter("n > 0 and id is not null")
     # equal sets are one class, named by its smallest id
-    classes = filled.groupBy("n", "content").agg(F.min(F.struct("id", "signature", "bands")).alias("first")).select("n", "content", "first.*")
+    classes = filled.groupBy("n", "content").agg(F.min(F.struct("id", "bands")).alias("first")).select("n", "content", "first.*")
     classes = cut(classes)
     bucketed = classes.select("id", F.explode("bands").alias("bucket"))
     crowded = bucketed.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("rows")).filter("rows > 1")
@@ -256,34 +263,28 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     chain = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("id", F.lit(1)), "id")
     lined = met.withColumn("part", part).withColumn("next", F.lead("id").over(chain))
     near = lined.select(F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("id").alias("b")), F.struct(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")))).alias("p")).select("p.*")
-    brief = classes.select("id", "n", "signature")
-    least = percent / 100 - SLACK
-    pairs = cut(near.filter("a < b").distinct())
-    # leftovers of crowded buckets can only ever pair classes of these
+    pairs = near.filter("a < b").distinct()
+    # whatever else meets in a bucket is one of these, too
     involved = met.select("id").distinct()
     sets = cut(source.join(involved, "id", "left_semi").mapInArrow(_hashed_sets(width), "id long, hashes array<long>").dropDuplicates(["id"]))
     links = cut(_confirm(pairs, sets, percent))
-    tested = pairs
-    partners = FIRST_PARTNERS
-    while True:
-        grouped = components(links)
-        named = met.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        open_ = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("main")).filter("parts > 1").select("bucket", F.col("main.component").alias("main"))
-        left = cut(named.join(open_, "bucket").join(brief, "id").select("bucket", "id", "component", "n", "rows", "signature", (F.col("component") != F.col("main")).alias("wanted")))
-        blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-        placed = left.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id", "component", "n", F.lit(False).alias("wanted"), "signature")
-        seeking = left.filter("wanted").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "id", "component", "n", "wanted", "signature")
-        dealt = placed.unionAll(seeking).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-        found = cut(dealt.mapInArrow(_likely(partners, least, percent / 100), "a long, b long, more boolean"))
-        fresh = cut(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        more = found.filter("more").limit(1).count() > 0
-        if fresh.limit(1).count():
-            links = cut(links.unionAll(_confirm(fresh, sets, percent)))
-            tested = cut(tested.unionAll(fresh))
-        elif not more:
-            break
-        partners *= 4
+    grouped = components(links)
+    # buckets that still hold several components: all rows that are not of the largest one meet all rows, block by block
+    named = met.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    open_ = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main")).filter("parts > 1")
+    open_ = open_.select("bucket", F.col("main.component").alias("main"), (F.col("all") - F.col("main.size")).alias("seekers"))
+    left = named.join(open_, "bucket").withColumn("wanted", F.col("component") != F.col("main"))
+    left = left.withColumn("rows_of", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("seekers_of", F.ceil(F.col("seekers") / BLOCK).cast("int"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("rows_of")).cast("int")).withColumn("seeks", F.pmod(F.xxhash64("id", F.lit(2)), F.col("seekers_of")).cast("int"))
+    # block (i, j) holds the i-th part of the rows and the j-th part of those that seek, so its size is bounded
+    stands = "transform(sequence(0, seekers_of - 1), j -> named_struct('block', own * seekers_of + j, 'wanted', wanted and j = seeks))"
+    comes = "transform(filter(sequence(0, rows_of - 1), i -> wanted and i != own), i -> named_struct('block', i * seekers_of + seeks, 'wanted', true))"
+    placed = left.selectExpr("bucket", "id", "component", f"explode(concat({stands}, {comes})) as at").select("bucket", "at.block", "id", "component", "at.wanted")
+    dealt = placed.join(sets, "id").select("bucket", "block", "id", "component", "wanted", "hashes").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    fresh = cut(dealt.mapInArrow(_linked(percent), "a long, b long").distinct())
+    if fresh.limit(1).count():
+        grouped = components(links.unionAll(fresh))
     leaders = classes.select("n", "content", F.col("id").alias("leader")).join(grouped.select(F.col("node").alias("leader"), "component"), "leader", "left").select("n", "content", F.coalesce("component", "leader").alias("component"))
     joined = signed.join(leaders, ["n", "content"], "left")
     out = joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
