@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.tables import table, whole_text
+from lodestream.llm.workers import held
 
-#: Chunks that a worker remembers; at about 400 bytes each this bounds the cache by some 240 MB.
-CACHE_CHUNKS = 600_000
+#: Chunks that a worker remembers; at about 400 bytes each this bounds the cache by some 160 MB.
+CACHE_CHUNKS = 400_000
 #: Characters of text that one round of batching takes.
-BATCH_CHARS = 12 << 20
+BATCH_CHARS = 4 << 20
 #: New words that share one flat symbol array.
 WORDS_AT_ONCE = 250_000
 
@@ -197,16 +198,9 @@ class Encoder:
             yield " ".join([ids[c] for c in chunks]), " ".join([tokens[c] for c in chunks])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(spec_text: str) -> Encoder:
     """The worker's encoder for this vocabulary; it outlives the task, and so does its cache."""
-    name = hashlib.sha256(spec_text.encode()).hexdigest()
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(spec_text)
-    return _ENCODERS[name]
+    return held(("encoder", hashlib.sha256(spec_text.encode()).hexdigest()), lambda: Encoder(spec_text))
 
 
 def slices(texts: list[str], most: int = BATCH_CHARS) -> Iterator[slice]:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.bpe import slices
 from lodestream.llm.tables import table, whole_text
+from lodestream.llm.workers import held
 
 #: Labelled documents that the fit uses of each class at most, and characters of one of them at most.
 FIT_PER_CLASS = 3000
@@ -34,7 +35,7 @@ FIT_CHARS = 200_000
 BUCKETS = 1 << 20
 NGRAMS = (3, 4, 5, 6)
 #: Words whose score a worker remembers (about 120 bytes each).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,22 +167,16 @@ def fit(texts: list[str], labels: list[int], *, width: int = 8, steps: int = 60,
     return Model(gain, float(params["bias"][1] - params["bias"][0]), scale)
 
 
-_SCORES: dict[bytes, dict[str, float]] = {}
-
-
-def _name(model: bytes) -> bytes:
-    return hashlib.sha256(model).digest()
+def _name(model: bytes) -> tuple:
+    return ("scores", hashlib.sha256(model).digest())
 
 
 class Scorer:
     """Scores texts with the words' cache of one Python worker."""
 
-    def __init__(self, model: Model, name: bytes):
+    def __init__(self, model: Model, name):
         self.model = model
-        if name not in _SCORES:
-            _SCORES.clear()
-            _SCORES[name] = {}
-        self.known = _SCORES[name]
+        self.known: dict[str, float | None] = held(name, dict)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         cut = [words_of(t) for t in texts]
