@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import bpe, html_extract, iblt, mixing, patricia, repair, superminhash, toxicity
+from lodestream.llm import bpe, html_extract, iblt, mixing, patricia, repair, suffixes, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_minhash": superminhash.op3_minhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_token_files": repair.op5_token_files,
+        "op6_suffix_dedup": suffixes.op6_suffix_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_html": html_extract.op8_html,
         "op9_exact_dedup": patricia.op9_exact_dedup,
