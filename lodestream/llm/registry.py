@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import bpe, html_extract, iblt, mixing, patricia, repair, suffixes, superminhash, toxicity
+from lodestream.llm import bpe, chat, html_extract, iblt, mixing, patricia, repair, suffixes, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat": chat.op1_chat,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_minhash": superminhash.op3_minhash,
         "op4_bpe": bpe.op4_bpe,
