@@ -175,7 +175,7 @@ def test_bpe_outputs(docs, empty):
 
 def test_token_files_round_trip(spark, docs, tmp_path):
     library = Tokenizer.from_file(repair.default_vocabulary())
-    repair.write(docs, str(tmp_path / "files"), shard_chars=900)
+    repair.write(docs, str(tmp_path / "files"), shard_bytes=900)
     found = {r.key: r for r in repair.read(spark, str(tmp_path / "files")).collect()}
     at = 0
     for key, text, *_ in ROWS:
@@ -188,7 +188,7 @@ def test_token_files_round_trip(spark, docs, tmp_path):
 def test_token_shard_has_rules_and_random_access():
     texts = [(prose(50) + " ") * 8 for _ in range(20)] + odd_texts()
     chunks = repair.Chunks(open(repair.default_vocabulary(), encoding="utf-8").read())
-    data, tokens = chunks.shard([*range(len(texts) - 1), None], texts, 2)
+    data, tokens = chunks.shard([*range(len(texts) - 1), None], [t.encode() for t in texts], 2)
     shard, library = repair.Shard(data), Tokenizer.from_file(repair.default_vocabulary())
     assert len(shard.grammar.rules) and len(shard.symbols) < tokens and shard.keys[-1] is None
     assert shard.rule_lengths.tolist() == shard.grammar.lengths()[shard.grammar.terminals :].tolist()
