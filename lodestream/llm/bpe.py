@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.tables import table, whole_text
-from lodestream.llm.workers import held
+from lodestream.llm.workers import held, tidy
 
 #: Chunks that a worker remembers; at about 400 bytes each this bounds the cache by some 160 MB.
 CACHE_CHUNKS = 400_000
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", outputs:
 
     source = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, " + ", ".join(f"{o} {_OUTPUTS[o]}" for o in wanted)).withColumnRenamed("key", key)
+    return source.mapInArrow(tidy(run, keep_cache=True), f"key {kind}, " + ", ".join(f"{o} {_OUTPUTS[o]}" for o in wanted)).withColumnRenamed("key", key)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

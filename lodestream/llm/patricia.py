@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.tables import table, whole_text
+from lodestream.llm.workers import tidy
 
 #: Bytes of keys that a trie holds before a subtree spills (owners) or the rows so far are passed on (scans).
 TRIE_BYTES = 96 << 20
@@ -206,9 +207,9 @@ def owners(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: st
     """One row per distinct text: n_bytes, digest (sha256, hex), owner (the kept identifier), members."""
     whole = whole_text(text)
     hashed = docs.select(F.sha2(whole, 256).alias("digest"), whole.alias("text"), F.col(key).cast("long").alias("key"))
-    folded = hashed.mapInArrow(_fold(keep, max_bytes), "n_bytes long, digest string, text binary, owner long, members long")
+    folded = hashed.mapInArrow(tidy(_fold(keep, max_bytes)), "n_bytes long, digest string, text binary, owner long, members long")
     dealt = folded.repartition("n_bytes", "digest")
-    return dealt.mapInArrow(_own(keep, max_bytes), "n_bytes long, digest string, owner long, members long")
+    return dealt.mapInArrow(tidy(_own(keep, max_bytes)), "n_bytes long, digest string, owner long, members long")
 
 
 def _joined(docs: DataFrame, key: str, text: str, **how) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from lodestream.llm.bpe import slices
 from lodestream.llm.components import components
 from lodestream.llm.tables import table, whole_text
+from lodestream.llm.workers import tidy
 from lodestream.session import cut
 
 #: Signature length is BANDS x ROWS. At a similarity of 0.8 a pair misses every band with probability 3e-5 (at 0.85: 4e-7).
@@ -134,7 +135,7 @@ def _sign(width: int):
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            for part in slices(texts, 4 << 20):
+            for part in slices(texts, 1 << 20):
                 sets = shingle_sets(texts[part], width)
                 filled = [i for i, s in enumerate(sets) if len(s)]
                 full = superminhash([sets[i] for i in filled], BANDS * ROWS)
@@ -156,7 +157,7 @@ def _hashed_sets(width: int):
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            for part in slices(texts, 2 << 20):
+            for part in slices(texts, 1 << 20):
                 sets = shingle_sets(texts[part], width)
                 ids = batch.column(0).slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "hashes"])
@@ -251,7 +252,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: key, n_shingles, component_id (the smallest reachable key, itself included)."""
     source = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))
-    signed = cut(source.mapInArrow(_sign(width), "id long, n long, content binary, bands array<long>"))
+    signed = cut(source.mapInArrow(tidy(_sign(width)), "id long, n long, content binary, bands array<long>"))
     filled = signed.filter("n > 0 and id is not null")
     # equal sets are one class, named by its smallest id
     classes = filled.groupBy("n", "content").agg(F.min(F.struct("id", "bands")).alias("first")).select("n", "content", "first.*")
@@ -266,7 +267,7 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     pairs = near.filter("a < b").distinct()
     # whatever else meets in a bucket is one of these, too
     involved = met.select("id").distinct()
-    sets = cut(source.join(involved, "id", "left_semi").mapInArrow(_hashed_sets(width), "id long, hashes array<long>").dropDuplicates(["id"]))
+    sets = cut(source.join(involved, "id", "left_semi").mapInArrow(tidy(_hashed_sets(width)), "id long, hashes array<long>").dropDuplicates(["id"]))
     links = cut(_confirm(pairs, sets, percent))
     grouped = components(links)
     # buckets that still hold several components: all rows that are not of the largest one meet all rows, block by block
@@ -282,7 +283,7 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     comes = "transform(filter(sequence(0, rows_of - 1), i -> wanted and i != own), i -> named_struct('block', i * seekers_of + seeks, 'wanted', true))"
     placed = left.selectExpr("bucket", "id", "component", f"explode(concat({stands}, {comes})) as at").select("bucket", "at.block", "id", "component", "at.wanted")
     dealt = placed.join(sets, "id").select("bucket", "block", "id", "component", "wanted", "hashes").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    fresh = cut(dealt.mapInArrow(_linked(percent), "a long, b long").distinct())
+    fresh = cut(dealt.mapInArrow(tidy(_linked(percent)), "a long, b long").distinct())
     if fresh.limit(1).count():
         grouped = components(links.unionAll(fresh))
     leaders = classes.select("n", "content", F.col("id").alias("leader")).join(grouped.select(F.col("node").alias("leader"), "component"), "leader", "left").select("n", "content", F.coalesce("component", "leader").alias("component"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.bpe import slices
 from lodestream.llm.tables import table, whole_text
-from lodestream.llm.workers import held
+from lodestream.llm.workers import held, tidy
 
 #: Labelled documents that the fit uses of each class at most, and characters of one of them at most.
 FIT_PER_CLASS = 3000
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([keys, pa.array(scorer.scores(texts[part]), pa.float64())], names=["key", "score"])
 
     source = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
-    return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
+    return source.mapInArrow(tidy(run, keep_cache=True), f"key {source.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -244,7 +244,7 @@ def without_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshol
                 clean = scorer.scores(texts[part]) < threshold
                 yield batch.slice(part.start, part.stop - part.start).filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, keep_cache=True), docs.schema)
 
 
 def held_out(key: str = "doc_id"):

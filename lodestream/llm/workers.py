@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 _HELD: dict = {}
 
@@ -13,3 +16,26 @@ def held(name, make: Callable):
         _HELD.clear()
         _HELD[name] = make()
     return _HELD[name]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system; workers stay alive between stages, beside the JVM's own growth."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator], keep_cache: bool = False) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that drops other stages' caches first, unless told, and gives memory back."""
+
+    def task(batches: Iterator) -> Iterator:
+        if not keep_cache:
+            _HELD.clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
