@@ -25,9 +25,9 @@ from lodestream.llm.tables import table, whole_text
 #: Code points after which a sentence is cut.
 PIECE = 80
 #: Cells in each third of a sketch; a power of two.
-SIDE = 8
+SIDE = 4
 #: Digests of both versions that one sketch takes on average at most.
-LOAD = 12
+LOAD = 6
 ROUNDS, LEVELS = 8, 4
 #: Documents in one range of keys, and ranges at most (their bounds are held by the driver).
 RANGE_ROWS, MOST_RANGES = 1000, 20_000
