@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.tables import table, whole_text
+from lodestream.llm.workers import give_back
 
 #: Bytes of a string, and of the grams whose hashes choose the sampled suffix.
 LENGTH, GRAM = 50, 16
 #: Bytes of text in one group of documents, and positions that are hashed at a time.
-GROUP_BYTES, CHUNK = 4 << 20, 1 << 20
+GROUP_BYTES, CHUNK = 2 << 20, 1 << 19
 
 _WINDOW = LENGTH - GRAM + 1  # grams of a string
 _NO_ID = np.iinfo(np.int64).max
@@ -216,6 +217,7 @@ def smallest_documents(rows: pa.Table) -> Iterator[tuple[int, bytes, bytes, byte
 
 def _table(rows: Iterator[tuple], schema: pa.Schema) -> pa.Table:
     columns = list(zip(*rows)) or [()] * len(schema)
+    give_back()
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
@@ -240,7 +242,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     source = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).cast("binary").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(size / group_bytes))
-    buckets = max(1, math.ceil(groups / 2))
+    buckets = 2 * groups  # a bucket's strings take some 80 bytes each while they are sorted
     grouped = source.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
 
     def first(rows: pa.Table) -> pa.Table:
