@@ -117,3 +117,32 @@ def probe(celled: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int,
     probed = spark.createDataFrame(near, "query_id long, cell int").join(queries.select("query_id", F.col("vector").alias("wanted")), "query_id")
     met = celled.join(probed, "cell").select("query_id", "id", F.round(cosine(F.col("vector"), F.col("wanted")), 9).alias("score"))
     return ranked(met, k)
+
+
+def probes_for(celled: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, *, wanted: float = 0.9, sample: int = 256) -> int:
+    """The fewest probes whose recall at k, measured against the exact top k of the whole table, is at least wanted.
+
+    Measured on the queries themselves, or on so many of them, the first by a hash of their id; of a sample, two
+    standard errors below its recall have to reach wanted. Probing all cells is exact, so there is always an answer.
+    """
+    if not centroids.size:
+        return len(centroids)
+    dim = centroids.shape[1]
+    usable = queries.filter(F.size("vector") == dim)
+    asked = usable.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    part = usable.count() > sample
+    place = {}
+    for ids, matrix in _query_blocks(asked, dim):
+        order = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")
+        place |= zip(ids, np.argsort(order, axis=1))
+    needed = {q: [] for q in place}
+    for q, _, cell in F.broadcast(top_k(celled, asked, k, dim).select("query_id", "id")).join(celled.select("id", "cell"), "id").select("query_id", "id", "cell").collect():
+        needed[q].append(place[q][cell] + 1 if cell >= 0 else 0)
+    if not any(needed.values()):
+        return len(centroids)
+    for probes in range(1, len(centroids)):
+        found = np.array([np.mean(np.array(n) <= probes) for n in needed.values() if n])
+        error = found.std(ddof=1) / len(found) ** 0.5 if part and len(found) > 1 else 0.0
+        if found.mean() - 2 * error >= wanted:
+            return probes
+    return len(centroids)

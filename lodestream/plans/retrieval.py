@@ -51,7 +51,8 @@ def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     cells = vector_search.train_cells(vectors, 16)
-    return vector_search.probe(vector_search.assign_cells(vectors, cells), _queries(vectors), cells, 10, 8)
+    celled, queries = vector_search.assign_cells(vectors, cells), _queries(vectors)
+    return vector_search.probe(celled, queries, cells, 10, vector_search.probes_for(celled, queries, cells, 10))
 
 
 _BM25 = """

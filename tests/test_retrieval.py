@@ -52,6 +52,16 @@ def test_inverted_file_with_all_cells_is_exact_and_recall_is_high(spark):
     assert len(few & {(q, i) for (q, _), i in exact.items()}) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_inverted_file_has_the_recall_on_the_whole_table(spark, sf):
+    path = f"/root/testdata/{sf}"
+    vectors = spark.read.parquet(f"{path}/embeddings.parquet").selectExpr("vec_id as id", "embedding as vector")
+    asked = vectors.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    exact = {(r.query_id, r.id) for r in vector_search.top_k(vectors, asked, 10, 64).collect()}
+    found = {(r.query_id, r.id) for r in queries()["ivf_topk"](spark, path).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_bm25_equals_the_full_text_index_of_sqlite(spark):
     texts = ["alpha beta gamma beta", "alpha delta", "beta beta beta", "epsilon zeta alpha", "gamma", "delta delta epsilon beta", ""]
     con = sqlite3.connect(":memory:")
