@@ -16,6 +16,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,11 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hi
 _NAME_PART = re.compile(r"[a-z]+")
 
 #: Elements whose content is no text of the page.
-UNSEEN = frozenset("script style noscript template iframe object embed svg math canvas audio video head title textarea select option datalist".split())
+UNSEEN = frozenset("script style noscript template iframe object embed svg canvas audio video head title textarea select option datalist".split())
 #: Of these, the ones whose content is not markup.
 RAW = frozenset("script style noscript iframe textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded msub msup msubsup munder mover munderover mtable mtr mtd".split())
 #: Elements that a new one of the same kind closes.
 SELF_CLOSING = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("ul ol dl table div section article body".split())
@@ -50,6 +51,10 @@ FURNITURE_NAMES = frozenset(
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toc toolbar widget widgets".split()
 )
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
+#: Names of what readers write, tags that say furniture by themselves, and elements whose own marks never count.
+READER_NAMES = frozenset("comment comments discussion disqus replies reply respond".split())
+FURNITURE_TAGS = FURNITURE - {"form", "fieldset"}
+WHOLE = frozenset("html body main".split())
 
 
 @dataclass(slots=True)
@@ -62,9 +67,69 @@ class Block:
     heading: bool
 
 
-def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """What an element says of itself: unseen, furniture, article."""
+@dataclass(slots=True)
+class Element:
+    tag: str
+    above: int
+    depth: int
+    marked: bool
+    article: bool
+    main: bool
+    readers: bool
+    titles: bool  # a heading in a header of an article
+    words: int = 0  # without links, as all counts here
+    open_words: int = 0  # of them, those under no marked element within
+    open_article: bool = False
+    holds_article: bool = False
+    holds_main: bool = False
+    furniture: bool = False
+
+
+def _judge(elements: list[Element]) -> None:
+    """Which elements are furniture, by their own marks or those above.
+
+    Marks of html, body, main and of what holds main do not count. Nor do marks by name, role or form of an element
+    that has more words than all text outside furniture, and holds an article or, where no article is outside, most of
+    the page's words. Names of readers' comments count wherever an article is outside.
+    """
+    for e in elements:
+        e.open_words = e.words
+    for e in reversed(elements):
+        e.open_article |= e.article and e.open_words > 0
+        e.holds_article |= e.article
+        e.holds_main |= e.main
+        if e.above >= 0:
+            up = elements[e.above]
+            up.words += e.words
+            up.holds_article |= e.holds_article
+            up.holds_main |= e.holds_main
+            if not e.marked:
+                up.open_words += e.open_words
+                up.open_article |= e.open_article
+    total = sum(e.words for e in elements if e.above < 0)
+    clean = sum(e.open_words for e in elements if e.above < 0 and not e.marked)
+    clean_article = any(e.open_article for e in elements if e.above < 0 and not e.marked)
+    for _, level in groupby(sorted(elements, key=lambda e: e.depth), key=lambda e: e.depth):
+        freed = []
+        for e in level:
+            up = elements[e.above] if e.above >= 0 else None
+            inherited = up is not None and up.furniture
+            if inherited and e.titles and not elements[up.above].furniture:
+                inherited = False
+            if e.marked and not inherited:
+                soft = e.tag not in FURNITURE_TAGS and e.words > clean and not (e.readers and clean_article)
+                if e.tag in WHOLE or e.holds_main or soft and (e.holds_article or not clean_article and 2 * e.words > total):
+                    freed.append(e)
+                    continue
+            e.furniture = inherited or e.marked
+        clean += sum(e.open_words for e in freed)
+        clean_article |= any(e.open_article for e in freed)
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
+    """What an element says of itself: unseen, furniture, article, main, written by readers."""
     unseen, furniture, article = tag in UNSEEN, tag in FURNITURE, tag in ("article", "main")
+    main, readers = tag == "main", False
     if attributes:
         for name, value, hidden in _ATTRIBUTE.findall(attributes):
             name = name.lower()
@@ -74,17 +139,21 @@ def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, boo
             elif name == "role":
                 furniture |= value in FURNITURE_ROLES
                 article |= value in ("main", "article")
+                main |= value == "main"
             elif name in ("class", "id"):
                 parts = set(_NAME_PART.findall(value))
                 furniture |= bool(parts & FURNITURE_NAMES)
+                readers |= bool(parts & READER_NAMES)
                 article |= bool(parts & ARTICLE_NAMES) and not parts & FURNITURE_NAMES
-    return unseen, furniture, article
+    return unseen, furniture, article, main, readers
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag; then, with its ancestors: unseen, furniture, article
+    stack: list[tuple[str, bool, bool, int]] = []  # tag; with its ancestors: unseen, article; place in elements
+    elements: list[Element] = [Element("", -1, 0, False, False, False, False, False)]  # the page
+    within: list[int] = []  # the element of each block
     pieces: list[str] = []
     linked: list[str] = []
     in_link, at = False, 0
@@ -94,9 +163,11 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             words = html.unescape("".join(pieces)).split()
             if words:
-                _, furniture, article = stack[-1][1:] if stack else (False, False, False)
+                _, article, inner = stack[-1][1:] if stack else (False, False, 0)
                 heading = any(s[0] in HEADINGS for s in stack[-2:])
-                out.append(Block(" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), furniture, article, heading))
+                out.append(Block(" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), False, article, heading))
+                within.append(inner)
+                elements[inner].words += out[-1].words - out[-1].linked
             pieces, linked = [], []
 
     def text(part: str) -> None:
@@ -106,13 +177,11 @@ def blocks(page: str) -> list[Block]:
                 linked.append(part)
 
     def push(tag: str, attributes: str) -> None:
-        above = stack[-1][1:] if stack else (False, False, False)
-        unseen, furniture, article = _marks(tag, attributes, above[2])
-        inherited = above[1]
-        if tag in HEADINGS and len(stack) > 1 and stack[-1][0] == "header" and stack[-2][3] and not stack[-2][2]:
-            inherited = False  # the title in the article's own header
-        # an article inside furniture (a reader's comment, say) stays furniture
-        stack.append((tag, above[0] or unseen, inherited or furniture, above[2] or article))
+        above = stack[-1][1:] if stack else (False, False, 0)
+        unseen, furniture, article, main, readers = _marks(tag, attributes)
+        titles = tag in HEADINGS and len(stack) > 1 and stack[-1][0] == "header" and stack[-2][2]
+        stack.append((tag, above[0] or unseen, above[1] or article, len(elements)))
+        elements.append(Element(tag, above[2], elements[above[2]].depth + 1, furniture, article, main, readers, titles))
 
     size = len(page)
     while at < size:
@@ -137,6 +206,10 @@ def blocks(page: str) -> list[Block]:
                 continue
             if tag in INLINE:
                 continue
+            if tag in ("annotation", "annotation-xml"):  # a formula's source beside the formula
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = close.end() if close else at
+                continue
             end_block()
             if tag in SELF_CLOSING:
                 for k in range(len(stack) - 1, -1, -1):
@@ -165,6 +238,9 @@ def blocks(page: str) -> list[Block]:
                         in_link = False
                         break
     end_block()
+    _judge(elements)
+    for block, inner in zip(out, within):
+        block.furniture = elements[inner].furniture
     return out
 
 

@@ -298,6 +298,25 @@ def test_main_text(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+LONG = "This paragraph has quite a number of plain words that tell a story about the town, its river and the people who live there every day."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<body class="right-sidebar"><div class="sidebar"><p>Buy it now</p></div><p>{LONG}</p><p>{LONG}</p>', f"{LONG}\n{LONG}"),
+        (f'<body class="no-sidebar"><article><p>{LONG}</p></article><footer>us</footer>', LONG),
+        (f'<div id="page" class="has-header"><div class="header">Site name</div><article><p>{LONG}</p></article></div>', LONG),
+        (f'<main class="with-toc"><div class="toc"><a href="#a">A</a></div><p>{LONG}</p></main>', LONG),
+        (f'<form action="/"><div class="comments"><article><p>I liked it a lot.</p></article></div><article><p>{LONG}</p></article></form>', LONG),
+        (f'<article><p>{LONG}</p></article><div class="comments"><article><p>{LONG} {LONG}</p></article></div><footer><p>{LONG} {LONG}</p></footer>', LONG),
+        (f'<article><p>{LONG}</p><p>So <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds in every case here.</p></article>', f"{LONG}\nSo x=2 holds in every case here."),
+    ],
+)
+def test_names_on_what_holds_the_article_do_not_lose_it(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_tree_agrees_with_its_table():
     rows = html_extract.LABELLED
     assert sum(html_extract.decide(html_extract.TREE, r[:-1]) == r[-1] for r in rows) >= 0.95 * len(rows)
