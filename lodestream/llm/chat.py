@@ -1,8 +1,9 @@
 """Chat formatting with DataFrame and SQL functions only: tool calls linked to results, checked, ordered, serialised.
 
 A message is a row (conversation, turn, role, text). Text that is a JSON object may carry more than words:
-- a system message's "tools": [{"name", "parameters": {"required": [...], "properties": {name: {"type"}}, "additionalProperties"}}];
-- an assistant message's "tool_calls": [{"id", "name", "arguments" (an object, or its text), "after": [ids]}], beside "content";
+- a system message's "tools": [{"name", "parameters": a JSON schema}], or with both inside "function";
+- an assistant message's "tool_calls": [{"id", "name", "arguments" (an object, or its text), "after": [ids]}], beside "content"; name and
+  arguments may be inside "function";
 - a tool message's "tool_call_id", beside "content".
 Every message and every call becomes one row, so a conversation that holds a third of all messages is never
 gathered. Calls and results are hash-joined by conversation and identifier. A call's level is 0, or one more than
@@ -25,13 +26,10 @@ from lodestream.llm.tables import table
 from lodestream.session import cut
 
 _BODY = (
-    "content string, tool_call_id string, tool_calls array<struct<id string, name string, arguments string, after array<string>>>, "
-    "tools array<struct<name string, parameters struct<required array<string>, properties map<string, struct<type string>>, additionalProperties string>>>"
+    "content string, tool_call_id string, tool_calls array<struct<id string, name string, arguments string, after array<string>, function struct<name string, arguments string>>>, "
+    "tools array<variant>"
 )
 
-#: What a JSON schema's type admits, as patterns on Spark's names of JSON values' types (fixed values).
-_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
-
 _COLUMNS = ("conv_id", "turn", "slot", "part", "kind", "role", "call_id", "level", "linked_turn", "valid", "problems", "line")
 
 
@@ -60,17 +58,66 @@ def _levels(calls: DataFrame) -> DataFrame:
     return placed
 
 
-def _problems() -> str:
-    """SQL: what is wrong with a call's arguments under its tool's schema."""
-    fits = " or ".join(f"(p.value.type = '{name}' and schema_of_variant(fields[p.key]) rlike '^({pattern})$')" for name, pattern in _TYPES.items())
-    return f"""case
-      when tool is null then array('unknown_tool')
-      when fields is null then array('arguments_not_an_object')
-      else concat(
-        transform(array_sort(array_except(coalesce(tool.required, array()), map_keys(fields))), x -> concat('missing:', x)),
-        transform(array_sort(transform(filter(coalesce(map_entries(tool.properties), array()), p -> p.value.type is not null and map_contains_key(fields, p.key) and not ({fits})), p -> p.key)), x -> concat('type:', x)),
-        if(lower(tool.additionalProperties) = 'false', transform(array_sort(array_except(map_keys(fields), coalesce(map_keys(tool.properties), array()))), x -> concat('unexpected:', x)), array()))
-      end"""
+def _variant(name: str, kind: str = "variant") -> str:
+    return f"try_variant_get(s, '$.{name}', '{kind}')"
+
+
+#: SQL: the parts of a value and its schema, in steps that use the ones before.
+_NODE = [
+    ["try_parse_json(schema) as s", "try_parse_json(value) as v"],
+    ["schema_of_variant(v) as vt", "to_json(v) as told", "concat(path, if(path = '', '', '.')) as prefix"],
+    ["case when vt in ('STRING', 'BOOLEAN') then lower(vt) when vt = 'VOID' then 'null' when vt like 'OBJECT%' then 'object' when vt like 'ARRAY%' then 'array' else 'number' end as kind"],
+    [
+        "if(kind = 'number', try_variant_get(v, '$', 'double'), null) as num",
+        "if(kind = 'object', try_cast(v as map<string, variant>), null) as fields",
+        "if(kind = 'array', try_cast(v as array<variant>), null) as elements",
+        "if(kind = 'string', length(try_variant_get(v, '$', 'string')), null) as letters",
+        f"filter(coalesce({_variant('type', 'array<string>')}, array({_variant('type', 'string')})), t -> t is not null) as types",
+        f"{_variant('enum', 'array<variant>')} as options",
+        f"{_variant('const')} as const",
+        f"coalesce({_variant('properties', 'map<string, variant>')}, cast(map() as map<string, variant>)) as properties",
+        f"coalesce({_variant('required', 'array<string>')}, cast(array() as array<string>)) as required",
+        f"{_variant('additionalProperties')} as others",
+        f"{_variant('items')} as items",
+    ],
+]
+
+
+def _same(x: str) -> str:
+    """SQL: whether variant x is the value, numbers by their value."""
+    return f"(to_json({x}) = told or num is not null and schema_of_variant({x}) rlike '^(BIGINT|DOUBLE|DECIMAL.*)$' and try_variant_get({x}, '$', 'double') = num)"
+
+
+def _outside(measure: str, low: str, high: str) -> str:
+    return f"coalesce({measure} < {_variant(low, 'double')}, false) or coalesce({measure} > {_variant(high, 'double')}, false)"
+
+
+#: SQL: what is wrong with a value itself, then the values within that have schemas of their own.
+_WRONG = f"""concat(
+  if(schema = 'false' or size(types) > 0 and not exists(types, t -> t = kind or t = 'integer' and kind = 'number' and num = floor(num)), array(concat('type:', path)), array()),
+  if(options is not null and not exists(options, x -> {_same("x")}), array(concat('enum:', path)), array()),
+  if(const is not null and not {_same("const")}, array(concat('const:', path)), array()),
+  if({_outside("num", "minimum", "maximum")} or coalesce(num <= {_variant("exclusiveMinimum", "double")}, false) or coalesce(num >= {_variant("exclusiveMaximum", "double")}, false), array(concat('range:', path)), array()),
+  if({_outside("letters", "minLength", "maxLength")} or {_outside("if(elements is null, null, size(elements))", "minItems", "maxItems")} or {_outside("if(fields is null, null, size(fields))", "minProperties", "maxProperties")}, array(concat('size:', path)), array()),
+  if(fields is null, array(), transform(array_except(required, map_keys(fields)), x -> concat('missing:', prefix, x))),
+  if(fields is not null and to_json(others) = 'false', transform(array_except(map_keys(fields), map_keys(properties)), x -> concat('unexpected:', prefix, x)), array()))"""
+_WITHIN = """concat(
+  if(fields is null, array(), transform(filter(map_entries(properties), p -> map_contains_key(fields, p.key)), p -> struct(concat(prefix, p.key) as path, to_json(p.value) as schema, to_json(fields[p.key]) as value))),
+  if(fields is null or others is null or to_json(others) in ('true', 'false'), array(), transform(filter(map_entries(fields), p -> not map_contains_key(properties, p.key)), p -> struct(concat(prefix, p.key) as path, to_json(others) as schema, to_json(p.value) as value))),
+  if(elements is null or items is null, array(), transform(elements, (x, i) -> struct(concat(path, '[', i, ']') as path, to_json(items) as schema, to_json(x) as value))))"""
+
+
+def _wrong(nodes: DataFrame) -> DataFrame:
+    """nodes(place, path, schema, value) to (place, wrong): rounds over the schemas' nesting, a row per value with a schema."""
+    found = None
+    while True:
+        for columns in _NODE:
+            nodes = nodes.selectExpr("*", *columns)
+        judged = cut(nodes.selectExpr("place", f"{_WRONG} as wrong", f"{_WITHIN} as within"))
+        found = judged.select("place", "wrong") if found is None else found.unionAll(judged.select("place", "wrong"))
+        nodes = judged.select("place", F.explode("within").alias("x")).select("place", "x.*")
+        if not nodes.limit(1).count():
+            return found.groupBy("place").agg(F.array_sort(F.flatten(F.collect_list("wrong"))).alias("wrong"))
 
 
 def _line(*names: str) -> str:
@@ -88,9 +135,10 @@ def format_chats(messages: DataFrame, *, conversation: str = "conv_id", turn: st
     said = said.withColumn("line", F.expr(_line("content", "role"))).select(*_COLUMNS)
 
     raw = parsed.filter("role <=> 'assistant' and body.tool_calls is not null").select("conv_id", "turn", F.posexplode("body.tool_calls").alias("at", "call"))
-    raw = raw.selectExpr("conv_id", "turn", "cast(at + 1 as int) as slot", "call.id as call_id", "call.name as name", "call.arguments as arguments", "coalesce(call.after, array()) as after")
+    raw = raw.selectExpr("conv_id", "turn", "cast(at + 1 as int) as slot", "call.id as call_id", "coalesce(call.name, call.function.name) as name", "coalesce(call.arguments, call.function.arguments) as arguments", "coalesce(call.after, array()) as after", "monotonically_increasing_id() as place")
     calls = cut(raw.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "slot"))))
-    if calls.limit(1).count():
+    called = calls.limit(1).count() > 0
+    if called:
         first = calls.filter("copy = 1 and call_id is not null and conv_id is not null")
         levels = _levels(first.select("conv_id", "call_id", "after"))
     else:
@@ -99,13 +147,21 @@ def format_chats(messages: DataFrame, *, conversation: str = "conv_id", turn: st
     answers = answers.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "content")))
 
     tools = parsed.filter("role <=> 'system' and body.tools is not null").select("conv_id", "turn", F.explode("body.tools").alias("tool"))
-    tools = tools.groupBy("conv_id", F.col("tool.name").alias("name")).agg(F.min_by("tool.parameters", "turn").alias("tool"))
+    own = lambda name, kind: f"coalesce(try_variant_get(tool, '$.{name}', '{kind}'), try_variant_get(tool, '$.function.{name}', '{kind}'))"
+    tools = tools.selectExpr("conv_id", "turn", f"{own('name', 'string')} as name", f"coalesce(to_json({own('parameters', 'variant')}), '{{}}') as tool")
+    tools = tools.groupBy("conv_id", "name").agg(F.min_by("tool", "turn").alias("tool"))
     linked = calls.join(tools, ["conv_id", "name"], "left").join(levels, ["conv_id", "call_id"], "left")
     result = answers.filter("copy = 1").selectExpr("conv_id", "call_id", "cast(turn as bigint) as linked_turn")
     linked = linked.join(result.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     linked = linked.withColumn("parsed", F.expr("try_parse_json(arguments)"))
     linked = linked.withColumn("fields", F.expr("if(schema_of_variant(parsed) like 'OBJECT%', try_cast(parsed as map<string, variant>), null)"))
-    checked = linked.withColumn("problems", F.expr(_problems()))
+    if called:
+        linked = cut(linked.withColumn("value", F.expr("if(fields is null, null, to_json(parsed))")).drop("parsed", "fields"))
+        wrong = _wrong(linked.filter("tool is not null and value is not null").selectExpr("place", "'' as path", "tool as schema", "value"))
+        linked = linked.join(wrong, "place", "left").withColumn("parsed", F.expr("try_parse_json(arguments)"))
+    else:
+        linked = linked.selectExpr("*", "cast(null as string) as value", "cast(null as array<string>) as wrong")
+    checked = linked.withColumn("problems", F.expr("case when tool is null then array('unknown_tool') when value is null then array('arguments_not_an_object') else coalesce(wrong, cast(array() as array<string>)) end"))
     checked = checked.withColumn("problems", F.expr("concat(problems, if(copy > 1, array('duplicate_id'), array()), if(call_id is null, array('no_id'), array()), if(copy = 1 and call_id is not null and conv_id is not null and level is null, array('cycle'), array()))"))
     checked = checked.withColumn("linked_turn", F.when(F.col("copy") == 1, F.col("linked_turn"))).withColumn("canonical", F.expr("coalesce(to_json(parsed), arguments)"))
     made = checked.selectExpr("conv_id", "turn", "slot", "0 as part", "'call' as kind", "'assistant' as role", "call_id", "coalesce(level, -1) as level", "linked_turn", "size(problems) = 0 as valid", "problems", "concat('{\"arguments\":', if(parsed is null, regexp_extract(to_json(array(canonical)), '(?s)^.(.*).$', 1), canonical), ',\"call\":', substring(to_json(named_struct('call', struct(call_id as id, name)), map('ignoreNullFields', 'false')), 9)) as line")

@@ -372,3 +372,21 @@ def test_chats(spark):
     for r in out:
         json.loads(r.line)
     assert chat.format_chats(frame.limit(0)).count() == 0
+
+
+def test_chat_arguments_against_nested_schemas(spark):
+    place = {"type": "object", "required": ["city"], "properties": {"city": {"type": "string", "minLength": 2}}, "additionalProperties": False}
+    schema = {"properties": {"unit": {"type": ["string", "null"]}, "mode": {"enum": ["a", 1]}, "v": {"const": 2}, "at": place, "xs": {"items": {"type": "integer", "maximum": 5}, "maxItems": 3}}, "additionalProperties": {"type": "boolean"}}
+    tools = {"tools": [{"type": "function", "function": {"name": "f", "parameters": schema}}, {"name": "bare"}]}
+    cases = [
+        ("f", {"unit": None, "mode": "a", "v": 2, "at": {"city": "Rome"}, "xs": [1, 5], "more": True}, []),
+        ("f", {"unit": 3, "mode": "b", "v": 3, "more": 1}, ["const:v", "enum:mode", "type:more", "type:unit"]),
+        ("f", {"at": {"city": "R", "z": 1}, "xs": [1, 6, "x"]}, ["range:xs[1]", "size:at.city", "type:xs[2]", "unexpected:at.z"]),
+        ("f", {"at": {}, "xs": [1, 2, 3, 4], "mode": 1}, ["missing:at.city", "size:xs"]),
+        ("bare", {"any": 1}, []),
+        ("none", {}, ["unknown_tool"]),
+    ]
+    calls = [{"id": f"c{i}", "type": "function", "function": {"name": n, "arguments": json.dumps(a)}} for i, (n, a, _) in enumerate(cases)]
+    rows = [(1, 0, "system", json.dumps(tools)), (1, 1, "assistant", json.dumps({"tool_calls": calls}))]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("kind = 'call'").collect()
+    assert {r.call_id: r.problems for r in out} == {f"c{i}": p for i, (_, _, p) in enumerate(cases)}
