@@ -203,8 +203,9 @@ def test_token_shard_has_rules_and_random_access():
 
 
 def brute_repeats(rows):
-    seen, out = {}, {}
-    for key, text, *_ in sorted(rows, key=lambda r: r[0]):
+    """Per row (id, bytes, removed, runs removed, what stays); a null id ranks after all others."""
+    rank, seen, out = lambda key: (key is None, key or 0), {}, []
+    for key, text, *_ in sorted(rows, key=lambda r: rank(r[0])):
         data = (text or "").encode()
         for i in range(len(data) - 49):
             seen.setdefault(data[i : i + 50], key)
@@ -212,24 +213,49 @@ def brute_repeats(rows):
         data = (text or "").encode()
         gone = [False] * len(data)
         for i in range(len(data) - 49):
-            if seen[data[i : i + 50]] < key:
+            if rank(seen[data[i : i + 50]]) < rank(key):
                 gone[i : i + 50] = [True] * 50
         kept = bytes(x for x, g in zip(data, gone) if not g)
-        out[key] = (len(data), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), kept)
-    return out
+        out.append((key, len(data), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), kept))
+    return sorted(out, key=repr)
+
+
+def found_repeats(docs, **options):
+    rows = suffixes.without_repeats(docs, **options).collect()
+    assert all(r.kept_sha256 == hashlib.sha256(r.kept).hexdigest() for r in rows)
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows), key=repr)
 
 
 @pytest.mark.parametrize("group_bytes", [1 << 20, 700])
 def test_suffix_dedup(docs, empty, group_bytes):
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.without_repeats(docs, group_bytes=group_bytes).collect()}
-    assert found == brute_repeats(ROWS)
+    assert found_repeats(docs, group_bytes=group_bytes) == brute_repeats(ROWS)
     assert suffixes.without_repeats(empty).count() == 0
 
 
-def test_multikey_order_is_exact():
-    raw = np.frombuffer(bytes(random.choices(b"ab", k=400)) * 2, np.uint8)
-    starts = np.arange(len(raw) - 49)
-    order, new = suffixes.equal_strings(raw, starts)
+@pytest.mark.parametrize("group_bytes, hot", [(1 << 20, 4096), (600, 4096), (600, 2)])
+def test_suffix_dedup_of_null_and_repeated_ids_and_common_passages(spark, group_bytes, hot):
+    passage = prose(20)
+    rows = [(i, prose(random.randint(0, 9)) + passage[random.randint(0, 40) :] + prose(random.randint(0, 9)), "en", "a", 1, "") for i in range(60)]
+    rows += [(i, "ab" * random.randint(10, 90), "en", "a", 1, "") for i in range(60, 70)]
+    rows += [(r[0], *rows[(7 * i) % 70][1:]) for i, r in enumerate(rows[:20])]  # identifiers twice, with other texts
+    rows += [(None, *r[1:]) for r in rows[::9]] + rows[::13] + [(None, None, "en", "a", 1, "")] * 2
+    random.shuffle(rows)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert found_repeats(docs, group_bytes=group_bytes, hot=hot) == brute_repeats(rows)
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    long = prose(400_000)  # some 3.6 MB
+    rows = [(1, long, "en", "a", 1, ""), (2, long[:2_000_000] + "#" + long[2_000_000:], "en", "a", 1, ""), (3, "x" + long[-70:], "en", "a", 1, "")]
+    found = {r.doc_id: r for r in suffixes.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert bytes(found[2].kept) == b"#" and found[2].n_spans == 2
+    assert bytes(found[3].kept) == b"x" and found[1].n_removed == sum(x[2] for x in brute_repeats(rows[:1]))
+
+
+def test_multikey_quicksort_is_exact():
+    raw = np.frombuffer(bytes(random.choices(b"ab", k=400)) * 2 + bytes(120), np.uint8)
+    starts = np.array(random.sample(range(len(raw) - 49), len(raw) - 49))
+    order, new = suffixes.multikey_quicksort(raw, starts)
     strings = [raw[s : s + 50].tobytes() for s in starts[order].tolist()]
     assert strings == sorted(strings)
     assert new.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
