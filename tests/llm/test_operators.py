@@ -185,18 +185,83 @@ def test_token_files_round_trip(spark, docs, tmp_path):
         at += len(ids)
 
 
+def coder():
+    from public_tokenizers import PATTERN
+
+    return repair.Tokens(*(open(p, encoding="utf-8").read() for p in (repair.default_vocabulary(), repair.default_ranks())), PATTERN)
+
+
+def spaces():
+    return [chr(i) for i in range(0x110000) if chr(i).isspace()] + list("\x00\x1b\u180e\u200b\u2060\ufeff")
+
+
+def test_ids_equal_the_library_on_every_code_point():
+    library, own = Tokenizer.from_file(repair.default_vocabulary()), coder()
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for around in ("a{0}b {0}1", " {0}  {0}'s{0}"):
+        for at in range(0, len(points), 20000):
+            texts = [around.format(p) for p in points[at : at + 20000]]
+            for text, told in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False)):
+                assert own.ids(text).tolist() == told.ids, repr(text)
+
+
+def test_ids_equal_the_library_on_mixed_white_space():
+    library, own = Tokenizer.from_file(repair.default_vocabulary()), coder()
+    alphabet = [*spaces(), *"ab1'é中_", " ", " ", "\n", "<|endoftext|>", "'ll", "'S"]
+    texts = ["".join(random.choices(alphabet, k=random.randint(1, 14))) for _ in range(20000)] + ["b\na \xa0 \xa0"]
+    for text, told in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False)):
+        assert own.ids(text).tolist() == told.ids, repr(text)
+    for text in (" " * 400_000 + "x", "\n" * 400_000, "ab" * 300_000, ""):
+        assert own.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_shard_has_rules_and_random_access():
     texts = [(prose(50) + " ") * 8 for _ in range(20)] + odd_texts()
-    chunks = repair.Chunks(open(repair.default_vocabulary(), encoding="utf-8").read())
-    data, tokens = chunks.shard([*range(len(texts) - 1), None], [t.encode() for t in texts], 2)
+    data, tokens = coder().shard([*range(len(texts) - 1), None], texts, 2)
     shard, library = repair.Shard(data), Tokenizer.from_file(repair.default_vocabulary())
-    assert len(shard.grammar.rules) and len(shard.symbols) < tokens and shard.keys[-1] is None
-    assert shard.rule_lengths.tolist() == shard.grammar.lengths()[shard.grammar.terminals :].tolist()
+    assert len(shard.grammar.rules) and len(shard.symbols) < 0.5 * tokens and shard.keys[-1] is None
+    assert shard.length.tolist() == shard.grammar.lengths().tolist()
+    ends = np.cumsum(shard.tokens)
     for i, text in enumerate(texts):
         ids = library.encode(text, add_special_tokens=False).ids + [2]
         a = random.randint(0, len(ids))
         b = random.randint(a, len(ids))
         assert shard.ids(i).tolist() == ids and shard.ids(i, a, b).tolist() == ids[a:b]
+        assert shard.all_ids()[ends[i] - len(ids) : ends[i]].tolist() == ids
+
+
+@pytest.mark.parametrize("n, kinds", [(0, 3), (1, 3), (9, 1), (4000, 2), (4000, 60)])
+def test_repair_rules_run_to_the_end(n, kinds):
+    """No pair is left that could be replaced often enough to save bytes, and the grammar gives the sequence back."""
+    sequence = np.array(random.choices(range(kinds), k=n) if kinds > 1 else [0] * n, np.uint32)
+    last = np.array([random.random() < 0.02 for _ in range(n)], bool)
+    last[-1:] = True
+    grammar, symbols, ends = repair.learn(sequence, last, kinds)
+    assert grammar.expand(symbols).tolist() == sequence.tolist()
+    assert np.cumsum(grammar.lengths()[symbols])[ends].tolist() == (np.flatnonzero(last) + 1).tolist()
+    count, skip = {}, -1
+    for i in range(len(symbols) - 1):
+        pair = (int(symbols[i]), int(symbols[i + 1]))
+        if not ends[i] and not (pair[0] == pair[1] and skip == i):  # equal symbols in a row: every other pair
+            count[pair] = count.get(pair, 0) + 1
+            skip = i + 1
+    assert not count or max(count.values()) < repair.LEAST_COUNT
+
+
+def test_token_files_of_null_and_repeated_keys_long_texts_and_an_empty_table(spark, empty, tmp_path):
+    library = Tokenizer.from_file(repair.default_vocabulary())
+    long = prose(120_000)
+    rows = [(5, long), (5, "b"), (5, "a"), (None, "null key"), (5, "a"), (7, None), (None, None), (9, "")]
+    repair.write(spark.createDataFrame([(k, t, "en", "a", 1, "") for k, t in rows], SCHEMA), str(tmp_path / "files"), shard_bytes=1000)
+    found = sorted((r.start, r.key, r.n_tokens, r.ids) for r in repair.read(spark, str(tmp_path / "files")).collect())
+    at, told = 0, []
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        told.append((at, key, len(ids), ids))
+        at += len(ids)
+    assert found == told
+    repair.write(empty, str(tmp_path / "none"))
+    assert repair.read(spark, str(tmp_path / "none")).count() == 0
 
 
 # -- repeated strings --------------------------------------------------------
