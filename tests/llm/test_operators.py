@@ -416,23 +416,120 @@ def test_tree_agrees_with_its_table():
 # -- fingerprints ------------------------------------------------------------
 
 
+BLOCK = 3 * iblt.SIDE
+
+
+def cells_of(fingerprint):
+    parts = [fingerprint[i : i + 28] for i in range(0, len(fingerprint), 28)]
+    return [(int(p[:4], 16), int(p[4:20], 16), int(p[20:], 16)) for p in parts]
+
+
+def fold(cells, blocks):
+    out = [(0, 0, 0)] * (BLOCK * blocks)
+    for i, (n, k, c) in enumerate(cells):
+        o = out[i % len(out)]
+        out[i % len(out)] = (o[0] + n, o[1] ^ k, o[2] ^ c)
+    return out
+
+
+def peel(cells, check):
+    """The cells of a block after peeling, and how many digests came out."""
+    cells, found = list(cells), 0
+    for _ in range(iblt.ROUNDS):
+        pure = {k: n for n, k, c in cells if abs(n) == 1 and check(k) == c}
+        if not pure:
+            break
+        found += len(pure)
+        for k, n in pure.items():
+            for third in range(3):
+                i = third * iblt.SIDE + (k >> iblt._SHIFT + 8 * third & iblt.SIDE - 1)
+                cells[i] = (cells[i][0] - n, cells[i][1] ^ k, cells[i][2] ^ check(k))
+    return cells, found
+
+
+def likeness_of(a, b, check):
+    """What two returned fingerprints say of each other, in plain Python."""
+    number = lambda cells, j=0, size=1: sum(cells[BLOCK * q + i][0] for q in range(j, len(cells) // BLOCK, size) for i in range(iblt.SIDE))
+    a, b = cells_of(a), cells_of(b)
+    blocks = min(len(a), len(b)) // BLOCK
+    difference = [(x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]) for x, y in zip(fold(a, blocks), fold(b, blocks))]
+    first, differing = max(1, blocks >> iblt.LEVELS - 1), 0
+    open_ = [(j, first) for j in range(first)]
+    while open_:
+        j, size = open_.pop()
+        left, found = peel(fold(difference, size)[BLOCK * j : BLOCK * j + BLOCK], check)
+        filled = sum(x != (0, 0, 0) for x in left)
+        if not filled:
+            differing += found
+        elif size < blocks:
+            open_ += [(j, 2 * size), (j + size, 2 * size)]
+        elif 2 * filled <= BLOCK:
+            differing += found + max(sum(2 if n == 0 and (k or c) else abs(n) for n, k, c in left[t * iblt.SIDE : (t + 1) * iblt.SIDE]) for t in range(3))
+        else:
+            differing += number(a, j, size) + number(b, j, size)
+    total = number(a) + number(b)
+    common = max(0, total - differing) / 2
+    return common / (total - common) if total else 1.0
+
+
+def checks_of(spark, fingerprints, texts):
+    """The check hash of a digest: Spark's xxhash64 over all digests that peeling can find."""
+    pieces = {p for t in texts for p in [*re.findall(r"[^\n]{1,%d}" % iblt.PIECE, t), *re.findall(r"[^\n]{1,%d}" % iblt.FINE, t)]}
+    rows = spark.createDataFrame([(p,) for p in pieces], "p string").selectExpr("xxhash64(p) as d").selectExpr("d", "xxhash64(d, 1) & 4294967295L as c").collect()
+    known = {r.d & (1 << 64) - 1: r.c for r in rows}
+    return lambda k: known.get(k & (1 << 64) - 1)
+
+
 @pytest.mark.parametrize("range_rows", [1000, 2])
-def test_fingerprints(docs, empty, monkeypatch, range_rows):
+def test_fingerprints(spark, empty, monkeypatch, range_rows):
     monkeypatch.setattr(iblt, "RANGE_ROWS", range_rows)
+    lines = [prose(random.randint(3, 30)) for _ in range(900)]
+    shuffled = lambda k: "\n".join(random.sample(lines, k))
+    texts = TEXTS + [shuffled(k) for k in (5, 30, 30, 200, 700, 1)]
+    texts += [texts[-3], texts[-3].replace("1", "2", 40), texts[-3] + "\nmore", "short", "a longer text, though still a short one, of some eighty code points or so, yes", "\n\n"]
+    rows = [(i * 3 - 9, t, "en", "a", 1, "clash") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(random.sample(rows, len(rows)), SCHEMA).repartition(3)
     found = {r.doc_id: r for r in iblt.fingerprints(docs).collect()}
-    pieces = lambda t: set(re.findall(r"[^\n.!?]{1,80}", t))
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    by_text = {}
-    for i, (key, text, *_) in enumerate(ROWS):
-        own, following = text or "", ROWS[(i + 1) % len(ROWS)][1] or ""
+    edits = []
+    for i, (key, text, *_) in enumerate(rows):
+        own, following = text or "", rows[(i + 1) % len(rows)][1] or ""
         cut = len(own) // 4
-        edited, r = own[: len(own) - cut] + following[:cut], found[key]
+        edits.append(own[: len(own) - cut] + following[:cut])
+    check = checks_of(spark, found, [t or "" for t in texts] + edits)
+    pieces = lambda t: set(re.findall(r"[^\n]{1,%d}" % iblt.PIECE, t)) | (set(re.findall(r"[^\n]{1,%d}" % iblt.FINE, t)) if len(t) < iblt.SHORT else set())
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    by_text, exact, near = {}, 0, 0
+    for i, (key, text, *_) in enumerate(rows):
+        own, following, edited, r = text or "", rows[(i + 1) % len(rows)][1] or "", edits[i], found[key]
         assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.near_edited == pytest.approx(like(pieces(own), pieces(edited))) and r.near_next == pytest.approx(like(pieces(own), pieces(following)))
+        assert r.near_edited == pytest.approx(likeness_of(r.fingerprint, r.edited_fingerprint, check))
+        assert r.near_next == pytest.approx(likeness_of(r.fingerprint, found[rows[(i + 1) % len(rows)][0]].fingerprint, check))
+        assert sum(n for n, *_ in cells_of(r.fingerprint)) == 3 * len(pieces(own))
+        for told, other in ((r.near_edited, edited), (r.near_next, following)):
+            exact += told == pytest.approx(like(pieces(own), pieces(other)))
+            near += abs(told - like(pieces(own), pieces(other))) < 0.1
         assert by_text.setdefault(own, r.fingerprint) == r.fingerprint and (edited != own or r.edited_fingerprint == r.fingerprint)
+    assert exact >= 0.8 * 2 * len(rows) and near >= 0.95 * 2 * len(rows)
     assert iblt.fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("range_rows", [1000, 3])
+def test_fingerprints_of_null_and_repeated_ids_and_a_very_long_text(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(iblt, "RANGE_ROWS", range_rows)
+    long = "\n".join(prose(20) for _ in range(6000))  # about a million code points
+    rows = [(None, prose(4)) for _ in range(12)] + [(4, prose(5)) for _ in range(12)] + [(9, long), (10, long), (7, "x"), (7, "x"), (7, None)]
+    out = iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars) for r in out) == sorted((k is not None, k or 0, len(t or "")) for k, t in rows)
+    # each row has one successor: the edited texts are those of a ring in the order of keys
+    ring = sorted(((r.doc_id is not None, r.doc_id or 0) for r in out))
+    assert len(ring) == len(rows)
+    nine = next(r for r in out if r.doc_id == 9)
+    assert nine.near_next == 1.0 and nine.n_chars == len(long)
+    shared = {p: 1 for p in re.findall(r"[^\n]{1,%d}" % iblt.PIECE, long)}
+    edited = set(re.findall(r"[^\n]{1,%d}" % iblt.PIECE, long[: len(long) - len(long) // 4] + long[: len(long) // 4]))
+    assert nine.near_edited == pytest.approx(len(edited & set(shared)) / len(edited | set(shared)), abs=0.02)
+
+
 # -- chats -------------------------------------------------------------------
 
 
