@@ -2,14 +2,18 @@
 
 A word is the average of the embeddings of its character n-grams (with < and > at its ends), a document
 the average of its words, and a linear softmax reads the document vector. Embeddings and softmax are fitted
-together by full-batch gradient steps on a bounded sample of labelled documents; since the softmax is linear,
-a word enters a document's logits by one number per class, which scoring caches per worker. Misspelt or
-unseen words share n-grams with known ones and so get their vectors.
+together by full-batch gradient steps on a bounded sample of labelled documents. Every n-gram of the sample has an
+embedding. The many rare ones would be learnt by heart, so an n-gram's embedding is scaled by the evidence for it, a
+number between 0 and 1 that grows with how far its share of documents differs between the classes beyond
+chance, and the number of steps is the one that is best on a part of the sample that the first fit leaves out.
+Since the softmax is linear, a word enters a document's logits by one number per class, which scoring caches per
+worker. Misspelt or unseen words share n-grams with known ones and so get their vectors.
 
 Defined cases: null and empty texts (and texts without a letter or digit) have no words and score the
 model's prior; labels of unknown documents and null labels are ignored; without labels of both classes the
-score is 0 everywhere; repeated rows score alike; an empty table gives an empty result; only the key and the
-text column are read, so other columns cannot clash.
+score is 0 everywhere; repeated rows score alike, and each counts in the fit; very long texts are scored whole, and
+left out of the fit; an empty table gives an empty result; only the key and the text column are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ from lodestream.llm.bpe import slices
 from lodestream.llm.tables import table, whole_text
 from lodestream.llm.workers import held, tidy
 
-#: Labelled documents that the fit uses of each class at most, and characters of one of them at most.
+#: Labelled documents that the fit uses of each class at most, characters of one of them and of all of a class at most.
 FIT_PER_CLASS = 3000
-FIT_CHARS = 200_000
+FIT_CHARS, FIT_TOTAL = 100_000, 12_000_000
 #: Embedding rows; n-grams share them by hash.
 BUCKETS = 1 << 20
 NGRAMS = (3, 4, 5, 6)
@@ -87,84 +91,112 @@ class Model:
         return total / np.maximum(np.bincount(owner, minlength=len(words)), 1)
 
 
-def _design(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The sample as a sparse matrix documents x buckets, by parts of a few documents: row, bucket, value."""
-    for part in slices(texts, 400_000):
+class Sample:
+    """Labelled texts as two sparse matrices: documents by words, words by n-gram buckets."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
         number: dict[str, int] = {}
-        row, col = [], []
-        for i in range(part.start, part.stop):
-            ids = [number.setdefault(c, len(number)) for c in map(core, words_of(texts[i])) if c]
-            row.append(np.full(len(ids), i))
-            col.append(np.array(ids, np.int64))
-        if not number:
-            continue
-        row, col = np.concatenate(row), np.concatenate(col)
-        length = np.maximum(np.bincount(row, minlength=part.stop), 1)
-        pair, count = np.unique(row * np.int64(len(number)) + col, return_counts=True)
-        row, col = pair // len(number), pair % len(number)
-        bucket, owner = ngram_buckets(list(number))
-        bucket = bucket[np.argsort(owner, kind="stable")]
-        per_word = np.bincount(owner, minlength=len(number))
-        start = np.cumsum(per_word) - per_word
-        k = per_word[col]
-        inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        b = bucket[np.repeat(start[col], k) + inner]
-        v = np.repeat(count / (length[row] * np.maximum(k, 1)), k)
-        key, back = np.unique(np.repeat(row, k) * BUCKETS + b, return_inverse=True)
-        yield (key // BUCKETS).astype(np.int32), (key % BUCKETS).astype(np.int32), np.bincount(back, v, len(key)).astype(np.float32)
-
-
-def telling(parts: list, y: np.ndarray, min_docs: int, min_z: float) -> np.ndarray:
-    """The buckets whose share of documents differs between the classes by min_z standard errors."""
-    in_one, in_any = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row, col, _ in parts:
-        in_one += np.bincount(col[y[row] == 1], minlength=BUCKETS)
-        in_any += np.bincount(col, minlength=BUCKETS)
-    ones, zeros = (y == 1).sum(), (y == 0).sum()
-    share = in_any / len(y)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / zeros))
-    z = (in_one / ones - (in_any - in_one) / zeros) / error
-    return np.flatnonzero((np.abs(z) >= min_z) & (in_any >= min_docs))
-
-
-def fit(texts: list[str], labels: list[int], *, width: int = 8, steps: int = 60, rate: float = 0.1, scale: float = 40.0, min_docs: int = 3, min_z: float = 4.0, seed: int = 7) -> Model:
-    """Embeddings (width numbers a bucket) and softmax (width x 2) together, by Adam on the weighted log loss.
-
-    Only buckets that tell the classes apart get an embedding; the others stay at zero, which keeps the many
-    rare n-grams from being learnt by heart.
+        row, col, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i, text in enumerate(texts):
+            ids = np.array([number.setdefault(c, len(number)) for c in map(core, words_of(text)) if c], np.int64)
+            if len(ids):
+                word, count = np.unique(ids, return_counts=True)
+                row.append(np.full(len(word), i))
+                col.append(word)
+                value.append(count / len(ids))
+        self.y = np.asarray(labels)
+        self.row, self.col, self.value = (np.concatenate(x) for x in (row, col, value))
+        self.words = len(number)
+        bucket, owner = ngram_buckets(list(number)) if number else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(owner, kind="stable")
+        self.used, bucket = np.unique(bucket[order], return_inverse=True)
+        self.bucket, owner = bucket.astype(np.int32), owner[order].astype(np.int32)
+        self.per_word = np.bincount(owner, minlength=self.words)
+        self.first = np.cumsum(self.per_word) - self.per_word
+        by_bucket = np.argsort(bucket, kind="stable")
+        self.word_of, self.first_of = owner[by_bucket], np.searchsorted(bucket[by_bucket], np.arange(len(self.used)))
+
+    def logits(self, gain: np.ndarray) -> np.ndarray:
+        """The average over words of the average over n-grams."""
+        word = np.add.reduceat(gain[self.bucket], self.first) / self.per_word
+        return np.bincount(self.row, self.value * word[self.col], len(self.y))
+
+    def slope(self, error: np.ndarray) -> np.ndarray:
+        """What the errors of the logits are for each bucket's gain."""
+        word = np.bincount(self.col, self.value * error[self.row], self.words) / self.per_word
+        return np.add.reduceat(word[self.word_of], self.first_of)
+
+    def evidence(self, strength: float) -> np.ndarray:
+        """Per bucket x**6 / (x**6 + strength**6): x is by how many standard errors its share of documents differs between classes."""
+        share = np.zeros((2, len(self.used)))
+        ends = np.searchsorted(self.row, np.arange(len(self.y) + 1))
+        for i in range(len(self.y)):
+            word = self.col[ends[i] : ends[i + 1]]
+            if len(word):
+                n = self.per_word[word]
+                last = np.cumsum(n)
+                share[self.y[i], np.unique(self.bucket[np.repeat(self.first[word] - (last - n), n) + np.arange(last[-1])])] += 1
+        each = np.bincount(self.y, minlength=2)
+        both = share.sum(0) / len(self.y)
+        error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / each).sum())
+        x = np.where(share.sum(0) > 1, np.abs(share[1] / each[1] - share[0] / each[0]) / error, 0) ** 6
+        return x / (x + strength**6)
+
+
+def _descend(sample: Sample, evidence: np.ndarray, out: np.ndarray, steps: int, patience: int, width: int, rate: float, scale: float, seed: int) -> tuple[int, np.ndarray, float]:
+    """Adam on the weighted log loss of the documents that are not out; the step that was best on those, its gains and bias.
+
+    Without documents out, all steps are made and the last one counts.
     """
-    y = np.asarray(labels)
-    if len(set(labels)) < 2:
-        return Model(np.zeros(BUCKETS), -50.0, scale)
-    parts = list(_design(texts))
-    seen = telling(parts, y, min_docs, min_z)
-    place = np.full(BUCKETS, -1)
-    place[seen] = np.arange(len(seen))
-    parts = [(row[u], place[col[u]], value[u] * scale) for row, col, value in parts for u in [place[col] >= 0]]
-    row, col, value = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+    y, n = sample.y, len(sample.used)
     random = np.random.default_rng(seed)
-    params = {"embed": np.zeros((len(seen), width)), "soft": random.normal(0, width**-0.5, (width, 2)), "bias": np.zeros(2)}
+    params = {"embed": np.zeros((n, width)), "soft": random.normal(0, width**-0.5, (width, 2)), "bias": np.zeros(2)}
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
-    share = np.bincount(y, minlength=2) / len(y)
-    weight = np.sqrt(1 / share)[y]
-    weight /= weight.sum()
-    target = np.eye(2)[y]
+    weight = np.sqrt(1 / (np.bincount(y[~out], minlength=2) / (~out).sum()))[y]
+    inner, outer = np.where(out, 0, weight), np.where(out, weight, 0)
+    inner /= inner.sum()
+    best = (0, np.zeros(n), 0.0, np.inf)
     for step in range(1, steps + 1):
-        per_bucket = params["embed"] @ params["soft"]
-        logits = np.stack([np.bincount(row, value * per_bucket[col, k], len(y)) for k in range(2)], 1) + params["bias"]
-        shifted = np.exp(logits - logits.max(1, keepdims=True))
-        error = (shifted / shifted.sum(1, keepdims=True) - target) * weight[:, None]
-        back = np.stack([np.bincount(col, value * error[row, k], len(seen)) for k in range(2)], 1)
-        slope = {"embed": back @ params["soft"].T , "soft": params["embed"].T @ back, "bias": error.sum(0)}
+        logit = evidence * (params["embed"] @ (params["soft"][:, 1] - params["soft"][:, 0]))
+        bias = float(params["bias"][1] - params["bias"][0])
+        p = 1 / (1 + np.exp(-np.clip(scale * sample.logits(logit) + bias, -50, 50)))
+        loss = float((-np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-12)) * outer).sum())
+        if not out.any() or loss < best[3] - 1e-4:
+            best = (step, logit, bias, loss)
+        elif step - best[0] > patience:
+            break
+        error = (p - y) * inner
+        back = evidence * sample.slope(error) * scale
+        both = np.stack([-back, back], 1)
+        slope = {"embed": both @ params["soft"].T, "soft": params["embed"].T @ both, "bias": np.array([-error.sum(), error.sum()])}
         for k, g in slope.items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             params[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    return best[:3]
+
+
+def fit(texts: list[str], labels: list[int], *, width: int = 8, steps: int = 120, patience: int = 15, rate: float = 0.1, scale: float = 40.0, strength: float = 5.0, seed: int = 7) -> Model:
+    """Embeddings (width numbers a bucket) and softmax (width x 2) together; see the module's text."""
+    if len(set(labels)) < 2:
+        return Model(np.zeros(BUCKETS), -50.0, scale)
+    sample = Sample(texts, labels)
     gain = np.zeros(BUCKETS)
-    per_bucket = params["embed"] @ params["soft"]
-    gain[seen] = per_bucket[:, 1] - per_bucket[:, 0]
-    return Model(gain, float(params["bias"][1] - params["bias"][0]), scale)
+    if not sample.words:
+        share = float(np.mean(sample.y))
+        return Model(gain, float(np.log(share / (1 - share))), scale)
+    evidence, none = sample.evidence(strength), np.zeros(len(labels), bool)
+    out = np.zeros(len(labels), bool)  # every fifth document of each class
+    for k in (0, 1):
+        out[np.flatnonzero(sample.y == k)[4::5]] = True
+    how = (width, rate, scale, seed)
+    if out[sample.y == 0].any() and out[sample.y == 1].any():
+        steps = max(1, _descend(sample, evidence, out, steps, patience, *how)[0])
+    else:
+        steps = min(steps, 40)
+    _, gain[sample.used], bias = _descend(sample, evidence, none, steps, patience, *how)
+    return Model(gain, bias, scale)
 
 
 def _name(model: bytes) -> tuple:
@@ -201,13 +233,19 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = FIT_PER_CLASS, **how) -> Model:
-    """Fit on at most per_class labelled documents of each class, the first by a hash of their key."""
+    """Fit on at most per_class labelled documents of each class and FIT_TOTAL characters, the first by a hash of their key."""
     known = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
     parts = [known.filter(F.col("label") == k).orderBy(F.xxhash64("key"), "key").limit(per_class) for k in (0, 1)]
     chosen = parts[0].unionAll(parts[1])  # at most 2 x per_class rows of two numbers: safe to broadcast
-    texts = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text")).filter(F.length("text") <= FIT_CHARS)
-    rows = texts.join(F.broadcast(chosen), "key").toArrow().to_pydict()
-    order = sorted(range(len(rows["key"])), key=lambda i: (rows["key"][i], rows["label"][i], rows["text"][i]))
+    texts = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text"), F.xxhash64(F.col(key).cast("long")).alias("order")).filter(F.length("text") <= FIT_CHARS)
+    # of each class as many, in the order of the hash, as the total takes; equal keys count once each
+    listed = texts.join(F.broadcast(chosen), "key").select("key", "label", "order", F.length("text").alias("size"), F.xxhash64("text").alias("at"))
+    sizes = listed.orderBy("order", "key", "at").limit(4 * per_class).toPandas()
+    taken = sizes[sizes.groupby("label")["size"].cumsum() <= FIT_TOTAL]
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame(pa.table({"key": pa.array(taken["key"], pa.int64()), "label": pa.array(taken["label"], pa.int32()), "at": pa.array(taken["at"], pa.int64())})).distinct()
+    rows = texts.withColumn("at", F.xxhash64("text")).join(F.broadcast(wanted), ["key", "at"]).select("key", "label", "text", "order").limit(4 * per_class).toArrow().to_pydict()
+    order = sorted(range(len(rows["key"])), key=lambda i: (rows["order"][i], rows["key"][i], rows["label"][i], rows["text"][i]))
     return fit([rows["text"][i] for i in order], [rows["label"][i] for i in order], **how)
 
 

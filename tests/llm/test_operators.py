@@ -144,8 +144,42 @@ def test_toxicity_learns_subwords_and_leaves_clean_texts(spark):
     assert toxicity.score(frame.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_misspellings_by_shared_ngrams():
+    """Every n-gram of the sample has an embedding; words never seen score by those that they share with seen ones."""
+    bad, texts, labels = ["vermin", "scumbag", "loathsome"], [], []
+    for i in range(300):
+        words = prose(30).split()
+        if i % 3 == 0:
+            words[random.randrange(30)] = random.choice(bad)
+            words[random.randrange(30)] = random.choice(bad)
+        texts.append(" ".join(words))
+        labels.append(int(i % 3 == 0))
+    model = toxicity.fit(texts, labels)
+    seen = {b for t in texts for b in toxicity.ngram_buckets(t.split())[0].tolist()}
+    assert np.count_nonzero(model.gain) >= 0.9 * len(seen)
+    misspelt = ["verminn", "vermins", "scumbagg", "sscumbag", "loathsomee", "loathsme", "scumbags"]
+    assert not set(misspelt) & {w for t in texts for w in t.split()}
+    clean = model.word_scores([w for w in prose(200).split()])
+    assert model.word_scores(misspelt).min() > np.quantile(clean, 0.99)
+
+
 def test_toxicity_without_both_classes():
     assert toxicity.fit(["a b"], [0]).bias < 0
+    assert toxicity.fit(["", "!"], [0, 1]).gain.any() == False  # noqa: E712
+
+
+def test_toxicity_of_repeated_rows_ties_and_very_long_texts(spark):
+    """Repeated rows and labels count each; a very long text is left out of the fit and scored whole."""
+    rows = [(i // 2, ("good " if i // 2 % 2 else "vile ") * 5 + prose(5), "en", "a", 1, "") for i in range(80)]
+    long = (prose(30_000) + " ") + "vile " * 30_000
+    rows += [(900, long, "en", "a", 1, ""), (901, prose(30), "en", "a", 1, ""), (901, prose(30), "en", "a", 1, ""), (None, "vile vile", "en", "a", 1, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)] * 2 + [(900, 0), (77, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, model).collect()
+    assert len(scored) == len(rows)
+    by = {r.doc_id: r.score for r in scored}
+    assert by[900] > 0.5 and by[None] > 0.5 and by[0] > 0.5 > by[1]
 
 
 # -- tokens ------------------------------------------------------------------
