@@ -34,7 +34,7 @@ from lodestream.llm.workers import held, tidy
 
 #: Labelled documents that the fit uses of each class at most, characters of one of them and of all of a class at most.
 FIT_PER_CLASS = 3000
-FIT_CHARS, FIT_TOTAL = 100_000, 12_000_000
+FIT_CHARS, FIT_TOTAL = 100_000, 8_000_000
 #: Embedding rows; n-grams share them by hash.
 BUCKETS = 1 << 20
 NGRAMS = (3, 4, 5, 6)
@@ -107,10 +107,18 @@ class Sample:
         self.y = np.asarray(labels)
         self.row, self.col, self.value = (np.concatenate(x) for x in (row, col, value))
         self.words = len(number)
-        bucket, owner = ngram_buckets(list(number)) if number else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(owner, kind="stable")
-        self.used, bucket = np.unique(bucket[order], return_inverse=True)
-        self.bucket, owner = bucket.astype(np.int32), owner[order].astype(np.int32)
+        listed, bucket, owner = list(number), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        number.clear()
+        for at in range(0, len(listed), 20_000):
+            part, of = ngram_buckets(listed[at : at + 20_000])
+            order = np.argsort(of, kind="stable")
+            bucket.append(part[order].astype(np.int32))
+            owner.append((of[order] + at).astype(np.int32))
+        bucket, owner = np.concatenate(bucket), np.concatenate(owner)
+        self.used = np.unique(bucket)
+        place = np.zeros(BUCKETS, np.int32)
+        place[self.used] = np.arange(len(self.used))
+        self.bucket = bucket = place[bucket]
         self.per_word = np.bincount(owner, minlength=self.words)
         self.first = np.cumsum(self.per_word) - self.per_word
         by_bucket = np.argsort(bucket, kind="stable")
