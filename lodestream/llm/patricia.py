@@ -5,9 +5,10 @@ holds a third of all rows shrinks to one row per task), the texts then go to the
 and content hash, and the owner's trie compares full byte strings: two texts meet in one terminal node
 only if every byte agrees. Terminals keep the smallest or the largest identifier and the group's size.
 
-Defined cases: null text counts as empty; null identifiers lose to any other; rows that repeat an
-identifier with the same text share its fate; an empty table gives an empty result; columns of the
-input keep their names and values, whatever they are.
+Defined cases: null text counts as empty; null identifiers lose to any other; of rows that repeat an identifier
+with the same text, owners() counts each, and distinct_texts() keeps the one whose other columns come first as
+text; very long texts are compared whole, and a trie may hold a single one beyond its bound; an empty table gives an
+empty result; columns of the input keep their names and values, whatever they are.
 """
 
 from __future__ import annotations
@@ -219,10 +220,53 @@ def _joined(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     return named.join(found, (F.col("__own_length") == F.col("__own_n_bytes")) & (F.col("__own_here") == F.col("__own_digest")))
 
 
-def distinct_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
-    kept = _joined(docs, key, text, **how).filter(F.col(key).cast("long").eqNullSafe(F.col("__own_owner")))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _whole_rows(keep: str, max_bytes: int, spills: bool):
+    """Rows (digest, text, key, rest) to one such row per distinct text of the task: that of the key that is kept."""
+
+    def better(a, b):
+        if a[0] == b[0]:
+            return min(a, b, key=lambda x: repr(x[1]))
+        if a[0] is None or b[0] is None:
+            return b if a[0] is None else a
+        return (max if keep == "largest" else min)(a, b, key=lambda x: x[0])
+
+    def run(batches):
+        trie, schema = PatriciaTrie(better, max_bytes if spills else 1 << 62), None
+
+        def out():
+            held, size = [], 0
+            for text, (key, rest, digest) in trie.items():
+                held.append((digest, text, key, rest))
+                size += 500 + len(text)
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+
+        for batch in batches:
+            schema = schema or batch.schema
+            for digest, text, key, rest in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                trie.add(bytes(text), (key, rest, digest))
+            if not spills and trie.held > max_bytes:
+                yield from out()
+                trie = PatriciaTrie(better, 1 << 62)
+        if schema is not None:
+            yield from out()
+
+    return run
+
+
+def distinct_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: str = "largest", max_bytes: int = TRIE_BYTES // 4) -> DataFrame:
+    """The rows of docs that stay, with the columns of docs. Texts are shuffled once, each with its row's other columns."""
+    whole = whole_text(text)
+    rest = F.struct(F.col(f"`{text}`").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text])
+    rows = docs.select(F.sha2(whole, 256).alias("digest"), whole.cast("binary").alias("text"), F.col(f"`{key}`").cast("long").alias("key"), rest.alias("rest"))
+    folded = rows.mapInArrow(tidy(_whole_rows(keep, max_bytes, False)), rows.schema)
+    kept = folded.repartition(F.length("text"), "digest").mapInArrow(tidy(_whole_rows(keep, max_bytes, True)), rows.schema)
+    kind = docs.schema[text].dataType
+    back = F.when(~F.col("rest.none"), F.col("text").cast("string").cast(kind)).alias(text)
+    return kept.select(*[back if c == text else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,10 +59,20 @@ def test_exact_dedup(docs, empty, keep, best):
     for r in ROWS:
         groups.setdefault(r[1] or "", []).append(r[0])
     assert kept == {best(g) for g in groups.values()}
-    assert patricia.distinct_texts(docs).columns == docs.columns
+    assert patricia.distinct_texts(docs).schema == docs.schema
     assert patricia.distinct_texts(empty).count() == 0
 
 
+def test_exact_dedup_of_null_and_repeated_ids_and_a_very_long_text(spark):
+    long = prose(200_000)
+    rows = [(None, "a"), (None, "a"), (3, "a"), (3, "a"), (9, None), (8, ""), (None, "b"), (None, "b"), (5, long), (6, long), (7, long + "x")]
+    docs = spark.createDataFrame([(k, t, "en", f"s{i}", i, "") for i, (k, t) in enumerate(rows)], SCHEMA).repartition(4)
+    kept = sorted((r.source, r.doc_id, r.text) for r in patricia.distinct_texts(docs).collect())
+    assert kept == sorted([("s2", 3, "a"), ("s4", 9, None), ("s6", None, "b"), ("s9", 6, long), ("s10", 7, long + "x")])
+    found = {(r.n_bytes, r.owner, r.members) for r in patricia.owners(docs).collect()}
+    assert found == {(1, 3, 4), (0, 9, 2), (1, None, 2), (len(long), 6, 2), (len(long) + 1, 7, 1)}
+
+
 # -- near duplicates ---------------------------------------------------------
 
 
