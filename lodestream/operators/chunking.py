@@ -1,8 +1,12 @@
-"""Heading-aware chunking of Markdown: the usual splitter that keeps each passage under its headings.
+"""Heading-aware chunking of Markdown (CommonMark's ATX headings and code fences).
 
-A document is cut at ATX headings outside code fences; each passage carries the path of headings above it. A
-passage longer than the budget is packed from its paragraphs, and the paragraphs that end one chunk and fit the
-overlap also begin the next. Null and empty documents give no chunks.
+A document is cut into sections at headings outside code fences; each section knows the headings above it. A section
+is a row of units: its lines, and pieces of lines that are longer than a window. Windows lie at equal
+distances of `budget` tokens (estimated at four characters each) over the section; a chunk is the part of the section
+whose units begin in one window, and it begins earlier by the units that begin in the last `overlap` tokens before. So
+where chunks are cut is known from the units' offsets alone, no unit is lost, and nothing within a unit is cut.
+
+Null and empty documents, and sections of white space alone, give no chunks.
 """
 
 from __future__ import annotations
@@ -10,83 +14,91 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HEADING = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
-_FENCE = re.compile(r"[ ]{0,3}(`{3,}|~{3,})")
-
+from lodestream.functions.text import CHARS_A_TOKEN
 
-def words(text: str) -> int:
-    return len(text.split())
+_HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
+_FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 
 
-def sections(markdown: str) -> Iterator[tuple[list[str], str]]:
-    """Passages with the headings above them."""
+def sections(markdown: str) -> Iterator[tuple[tuple[str, ...], str]]:
+    """Sections with the headings above them."""
     path: list[tuple[int, str]] = []
-    lines: list[str] = []
+    begin = at = 0
     fence = ""
-    for line in markdown.splitlines():
+    for line in markdown.split("\n"):
+        end = at + len(line) + 1
         mark = _FENCE.match(line)
         if fence:
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not line.strip().strip(fence[0]):
+            if mark and mark[1].startswith(fence) and not line[mark.end() :].strip():
                 fence = ""
         elif mark:
             fence = mark[1]
         elif heading := _HEADING.match(line):
-            if "".join(lines).strip():
-                yield [h for _, h in path], "\n".join(lines).strip()
-            lines = []
-            level = len(heading[1])
-            path = [p for p in path if p[0] < level] + [(level, heading[2])]
-            continue
-        lines.append(line)
-    if "".join(lines).strip():
-        yield [h for _, h in path], "\n".join(lines).strip()
-
-
-def pack(text: str, budget: int, overlap: int) -> Iterator[str]:
-    """Runs of paragraphs within the budget; one that is longer stands alone."""
-    held: list[str] = []
-    size = 0
-    for paragraph in re.split(r"\n[ \t]*\n+", text):
-        n = words(paragraph)
-        if held and size + n > budget:
-            yield "\n\n".join(held)
-            keep: list[str] = []
-            size = 0
-            for p in reversed(held):
-                if size + words(p) > overlap:
-                    break
-                keep.insert(0, p)
-                size += words(p)
-            held = keep
-        held.append(paragraph)
-        size += n
-    if held:
-        yield "\n\n".join(held)
+            yield tuple(h for _, h in path), markdown[begin:at]
+            begin, level = end, len(heading[1])
+            path = [p for p in path if p[0] < level] + [(level, heading[2] or "")]
+        at = end
+    yield tuple(h for _, h in path), markdown[begin:]
+
+
+def windows(section: str, budget: int, overlap: int) -> Iterator[str]:
+    """The chunks of a section."""
+    wide, before = budget * CHARS_A_TOKEN, overlap * CHARS_A_TOKEN
+    lengths = np.fromiter((len(x) + 1 for x in section.split("\n")), np.int64)
+    first = np.cumsum(lengths) - lengths
+    # a line gives a unit at its start and one at every window's width
+    per_line = np.maximum(1, -(-(lengths - 1) // wide))
+    start = np.repeat(first, per_line) + wide * (np.arange(per_line.sum()) - np.repeat(np.cumsum(per_line) - per_line, per_line))
+    stop = np.append(start[1:], len(section))
+    own = np.unique(start // wide)
+    low, high = np.searchsorted(start, own * wide - before), np.searchsorted(start, (own + 1) * wide) - 1
+    for a, b in zip(start[low].tolist(), stop[high].tolist()):
+        if text := section[a:b].strip(" \t\n"):
+            yield text
 
 
 def chunk(markdown: str | None, budget: int = 400, overlap: int = 50) -> list[tuple[str, str]]:
     """(headings joined by " > ", text) of each chunk."""
-    out = []
-    for path, text in sections(markdown or ""):
-        for part in [text] if words(text) <= budget else pack(text, budget, overlap):
-            out.append((" > ".join(path), part))
-    return out
+    return [(" > ".join(path), text) for path, section in sections(markdown or "") for text in windows(section, budget, overlap)]
 
 
 def chunks(docs: DataFrame, *, budget: int = 400, overlap: int = 50) -> DataFrame:
-    """docs(id, text) to (id, ordinal, headings, text, words)."""
+    """docs(id, text) to (id, ordinal, headings, text, tokens)."""
+    if not 0 <= overlap < budget:
+        raise ValueError("the overlap has to be less than the budget")
 
     def run(batches):
         for batch in batches:
-            rows = [(i, k, h, t, words(t)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, (h, t) in enumerate(chunk(text, budget, overlap))]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32()))], names=["id", "ordinal", "headings", "text", "words"])
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = chunk(text, budget, overlap)
+                if found:
+                    headings, texts = zip(*found)
+                    columns = [pa.array([key] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(headings, pa.string()), pa.array(texts, pa.string()), pa.array([-(-len(t) // CHARS_A_TOKEN) for t in texts], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "ordinal", "headings", "text", "tokens"])
+
+    return docs.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, ordinal int, headings string, text string, tokens long")
+
+
+def with_context(found: DataFrame, title: Column | None = None) -> DataFrame:
+    """Chunks with the column indexed: the document's title and the headings above the text, as an index reads it."""
+    above = F.array_join(F.filter(F.array(title if title is not None else F.lit(""), F.col("headings")), lambda x: (x != "") & x.isNotNull()), " > ")
+    return found.withColumn("indexed", F.when(above == "", F.col("text")).otherwise(F.concat(above, F.lit("\n\n"), F.col("text"))))
+
+
+def parameters(budget: int, overlap: int) -> str:
+    """The parameters as a text that is kept with what was made by them."""
+    return f"window={budget};overlap={overlap}"
+
 
-    return docs.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, ordinal int, headings string, text string, words int")
+def parameters_from(text: str | None) -> dict[str, int] | None:
+    """The parameters of such a text, None where it is none."""
+    found = re.fullmatch(r"window=(\d+);overlap=(\d+)", text or "")
+    return {"budget": int(found[1]), "overlap": int(found[2])} if found else None
 
 
 def with_neighbours(found: DataFrame, every: DataFrame, radius: int = 1) -> DataFrame:

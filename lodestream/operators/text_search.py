@@ -1,7 +1,8 @@
-"""Full-text ranking with BM25 (Robertson and Zaragoza) over postings, and fusion of rankings by reciprocal rank.
+"""Full-text ranking with BM25 (Robertson and Zaragoza), and fusion of rankings by reciprocal rank.
 
-Postings are one row per term and document with the term's count; document lengths and frequencies come from
-them by aggregation. A batch of queries is one join on the term.
+Tokens are runs of Unicode letters and digits, folded. For a batch of queries the queries' terms are joined by
+broadcast, under a counted bound, to the exploded tokens of the documents, so tokens that no query asks for never
+leave their task, and counts are combined before they are shuffled. Postings can also be made once and kept.
 """
 
 from __future__ import annotations
@@ -9,38 +10,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.functions.text import tokens
+
 K1, B = 1.2, 0.75
-#: Tokens are runs of ASCII letters and digits after lowering.
-TOKEN = "[a-z0-9]+"
+#: Terms of a batch of queries that are broadcast; beyond, the join is a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """docs(id, text) to (id, term, count)."""
-    words = docs.select("id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0))).alias("term"))
-    return words.groupBy("id", "term").agg(F.count("*").alias("count"))
+    """docs(id, text) to (id, term, count, length): length is that of the document in tokens."""
+    words = docs.select("id", tokens(F.col("text")).alias("tokens")).select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    return words.groupBy("id", "term", "length").agg(F.count("*").alias("count"))
 
 
-def query_terms(queries: DataFrame, most: int = 24) -> DataFrame:
-    """queries(query_id, text) to (query_id, term): the first distinct tokens of two characters or more."""
-    tokens = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) > 1)
-    return queries.select("query_id", F.explode(F.slice(F.array_distinct(tokens), 1, most)).alias("term"))
+def query_terms(queries: DataFrame, most: int | None = None) -> DataFrame:
+    """queries(query_id, text) to (query_id, term): the distinct tokens of two characters or more, or the first of them."""
+    found = F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.length(t) > 1))
+    return queries.select("query_id", F.explode(F.slice(found, 1, most) if most else found).alias("term"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, floor: float = 1e-6) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, floor: float = 1e-6, most: int | None = None) -> DataFrame:
     """(query_id, id, score) of every document that shares a term with the query.
 
-    idf = ln((N - n + 0.5) / (n + 0.5)), at least floor; N, n and the mean length are those of all documents.
+    idf = ln((N - n + 0.5) / (n + 0.5)), at least floor; N, n and the mean length are those of all documents. Null texts
+    have no tokens and count as documents; identifiers are expected to be unique.
     """
-    counts = postings(docs)
-    lengths = counts.groupBy("id").agg(F.sum("count").alias("length"))
-    sizes = docs.agg(F.count("*").alias("all")).crossJoin(lengths.agg(F.sum("length").alias("words")))  # one row by one row
-    asked = query_terms(queries)
-    met = counts.join(F.broadcast(asked.select("term").distinct()) if asked.count() < 100_000 else asked.select("term").distinct(), "term")
-    frequency = met.groupBy("term").agg(F.count("*").alias("n"))
-    found = met.join(asked, "term").join(frequency, "term").join(lengths, "id").crossJoin(F.broadcast(sizes))
-    idf = F.greatest(F.log((F.col("all") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(floor))
+    asked = query_terms(queries, most)
+    terms = asked.select("term").distinct()
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    hint = F.broadcast if small else (lambda df: df)
+    cut_up = docs.select("id", tokens(F.col("text")).alias("tokens"))
+    sizes = cut_up.agg(F.count("*").alias("all"), F.sum(F.size("tokens")).alias("words"))
+    met = cut_up.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(hint(terms), "term", "left_semi")
+    counts = met.groupBy("id", "term", "length").agg(F.count("*").alias("count"))
+    frequency = counts.groupBy("term").agg(F.count("*").alias("n"))
+    # one row by one row, then terms (at most BROADCAST_TERMS) with their weight
+    weighed = frequency.crossJoin(F.broadcast(sizes)).withColumn("idf", F.greatest(F.log((F.col("all") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(floor)))
     share = F.col("count") * (k1 + 1) / (F.col("count") + k1 * (1 - b + b * F.col("length") * F.col("all") / F.col("words")))
-    return found.groupBy("query_id", "id").agg(F.round(F.sum(idf * share), 6).alias("score"))
+    scored = counts.join(hint(weighed), "term").select("id", "term", (F.col("idf") * share).alias("part"))
+    return scored.join(hint(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def ranks(scored: DataFrame, name: str, most: int | None = None) -> DataFrame:
@@ -51,7 +59,7 @@ def ranks(scored: DataFrame, name: str, most: int | None = None) -> DataFrame:
 
 
 def fuse(rankings: list[DataFrame], *, k: int = 60, most: int = 10) -> DataFrame:
-    """Reciprocal rank fusion (Cormack, Clarke and Buettcher) of rankings (query_id, id, rank from 0)."""
+    """Reciprocal rank fusion (Cormack, Clarke and Buettcher) of whole rankings (query_id, id, rank from 0)."""
     listed = rankings[0].select("query_id", "id", "rank")
     for r in rankings[1:]:
         listed = listed.unionByName(r.select("query_id", "id", "rank"))

@@ -1,8 +1,9 @@
 """Exact and inverted-file nearest neighbours by cosine similarity.
 
 Published methods: exhaustive scan with a bounded top-k, and the inverted file (k-means cells, some of which are
-probed). Many queries are answered in one pass: the query matrix is broadcast after its size is checked, tasks
-score their vectors with one matrix product and keep their own best, and only those meet in the final ranking.
+probed). Many queries are answered in one pass: the query matrix is broadcast in blocks of a bounded size, tasks score
+their vectors with matrix products over slices of bounded size and keep one running top-k per query, and only those
+meet in the final ranking. Scores are rounded before they are compared, so equal ones are ordered by id everywhere.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.vectors import unit_rows
+from lodestream.functions.vectors import matrix_of, unit_rows
 
 #: Numbers in the query matrix that may be broadcast (8 bytes each); more queries are answered in several passes.
 BROADCAST_NUMBERS = 8_000_000
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+#: Scores that a task holds at a time.
+SCORES = 4_000_000
+#: Digits behind the point that scores are compared by.
+DIGITS = 6
+#: Vectors that k-means looks at per cell, and in all, and its rounds: Faiss takes up to 256 per cell and 25 rounds.
+SAMPLE_PER_CELL, MOST_SAMPLE, ROUNDS = 256, 100_000, 25
 
 
 def _query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[list, np.ndarray]]:
@@ -44,33 +47,95 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
-    """vectors(id, vector), queries(query_id, vector) to (query_id, id, score, rank)."""
+class Best:
+    """The k best of each query so far: scores and ids, best first, ties by the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = [np.zeros(0) for _ in range(queries)]
+        self.ids = [np.zeros(0, np.int64) for _ in range(queries)]
+
+    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        own = self.scores[query]
+        if len(own) == self.k:
+            near = np.flatnonzero(scores >= own[-1])
+            if not len(near):
+                return
+            scores, ids = scores[near], ids[near]
+        if len(scores) > 4 * self.k:  # all that reach the k-th best, ties with it too
+            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            near = np.flatnonzero(scores >= least)
+            scores, ids = scores[near], ids[near]
+        scores, ids = np.concatenate([own, scores]), np.concatenate([self.ids[query], ids])
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.scores[query], self.ids[query] = scores[order], ids[order]
+
+    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+        sizes = [len(x) for x in self.ids]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.scores))], names=["query_id", "id", "score"])
+
+
+_FOUND = "query_id long, id long, score double"
+
+
+def _usable(vectors: DataFrame, dim: int, *more: str) -> DataFrame:
+    return vectors.filter(F.col("vector").isNotNull() & (F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull())).select(F.col("id").cast("long"), "vector", *more)
+
+
+def _best_of(vectors: DataFrame, queries: DataFrame, k: int, dim: int, probed=None) -> DataFrame:
+    """The ranked best of every query; probed gives a block's queries by cells as a matrix of which meet."""
     spark, out = vectors.sparkSession, None
-    usable = vectors.filter(F.col("vector").isNotNull() & (F.size("vector") == dim)).select(F.col("id").cast("long"), "vector")
+    usable = _usable(vectors, dim, *(["cell"] if probed else []))
     for ids, matrix in _query_blocks(queries.filter(F.size("vector") == dim), dim):
-        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), matrix))
+        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), matrix, probed(matrix) if probed else None))
 
         def run(batches, sent=sent):
-            names, block = sent.value
+            names, block, meets = sent.value
+            best, step = Best(len(names), k), max(1, SCORES // len(names))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                scores = np.round(unit_rows(_matrix(batch.column(1))) @ block.T, 9)
-                for q in range(len(names)):
-                    order = np.lexsort((own, -scores[:, q]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), names[q])), pa.array(own[order]), pa.array(scores[order, q])], names=["query_id", "id", "score"])
-
-        part = usable.mapInArrow(run, "query_id long, id long, score double")
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    own, rows = part.column(0).to_numpy(), unit_rows(matrix_of(part.column(1), dim))
+                    if meets is None:
+                        scores = np.round(rows @ block.T, DIGITS)
+                        for q in range(len(names)):
+                            best.add(q, scores[:, q], own)
+                        continue
+                    cells = part.column(2).to_numpy()
+                    for cell in np.unique(cells).tolist():
+                        # vectors without a cell are always looked at
+                        asking = np.flatnonzero(meets[:, cell]) if cell >= 0 else np.arange(len(names))
+                        inside = np.flatnonzero(cells == cell)
+                        scores = np.round(rows[inside] @ block[asking].T, DIGITS)
+                        for j, q in enumerate(asking.tolist()):
+                            best.add(q, scores[:, j], own[inside])
+            yield best.batch(names)
+
+        part = usable.mapInArrow(run, _FOUND)
         out = part if out is None else out.unionAll(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, id long, score double")
+        out = spark.createDataFrame([], _FOUND)
     return ranked(out, k)
 
 
-def train_cells(vectors: DataFrame, cells: int, *, sample: int = 12_000, rounds: int = 10, seed: int = 0) -> np.ndarray:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    """vectors(id, vector), queries(query_id, vector) to (query_id, id, score, rank); other dimensions and nulls are left out."""
+    return _best_of(vectors, queries, k, dim)
+
+
+def cells_for(vectors: int) -> int:
+    """Cells of an inverted file over so many vectors: their root, within bounds that a broadcast of centroids allows."""
+    return max(16, min(1 << 14, int(vectors**0.5)))
+
+
+def outgrown(vectors: int, built_over: int | None) -> bool:
+    """Whether an inverted file should be built again: none yet, or the table has doubled since."""
+    return built_over is None or vectors > 2 * built_over
+
+
+def train_cells(vectors: DataFrame, cells: int, *, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
     """Unit centroids of spherical k-means on a bounded sample (the first vectors by a hash of their id)."""
+    sample = min(MOST_SAMPLE, SAMPLE_PER_CELL * cells)
     rows = vectors.filter("vector is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vector").toArrow().column(0)
     points = unit_rows(np.array(rows.to_pylist(), np.float64))
     if not len(points):
@@ -105,18 +170,15 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 def probe(celled: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
     """Top k among the rows of each query's nearest cells; rows without a cell are always looked at.
 
-    The join is on the cell, so only probed cells' rows are compared, and a query meets its own cells alone.
+    Queries are broadcast in blocks of bounded size with the cells that each probes, so no row is shuffled to a cell.
     """
-    from lodestream.functions.vectors import cosine
-
-    spark = celled.sparkSession
-    near = []
-    for ids, matrix in _query_blocks(queries, centroids.shape[1]):
-        order = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probes]
-        near += [(int(q), int(c)) for q, row in zip(ids, order) for c in [*row, -1]]
-    probed = spark.createDataFrame(near, "query_id long, cell int").join(queries.select("query_id", F.col("vector").alias("wanted")), "query_id")
-    met = celled.join(probed, "cell").select("query_id", "id", F.round(cosine(F.col("vector"), F.col("wanted")), 9).alias("score"))
-    return ranked(met, k)
+
+    def probed(matrix: np.ndarray) -> np.ndarray:
+        meets = np.zeros((len(matrix), len(centroids)), bool)
+        np.put_along_axis(meets, np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+        return meets
+
+    return _best_of(celled, queries, k, centroids.shape[1], probed)
 
 
 def probes_for(celled: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, *, wanted: float = 0.9, sample: int = 256) -> int:

@@ -1 +1 @@
-"""sources of the engine; see the README."""
+"""Files and their formats as DataFrames."""

@@ -1 +1 @@
-"""streaming of the engine; see the README."""
+"""Structured Streaming forms of upkeep and of working sets."""
