@@ -20,7 +20,7 @@ def scan(spark: SparkSession, root: str, *, extensions: list[str] | None = None,
     """Files below root: path (below root), name, kind (extension), size, modified, fingerprint, status, message, url.
 
     Folders that begin with a dot or are left out by name, and names like those left out (SQL's % and _), are not listed;
-    a file that is too large is listed with the status 'error' and why. Contents are not read (no column of them is).
+    a file that is too large is listed with the status 'error' and why. Spark lists no empty files. Contents are not read (no column of them is).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     clean = F.regexp_replace(F.regexp_replace("path", r"^\w+:/+", "/"), "%20", " ")

@@ -474,7 +474,7 @@ def rtf_document(text: str, title: str | None = None) -> Document:
 
 
 _PDF_STRING = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>")
-_PDF_SHOW = re.compile(rb"(\[(?:[^\]\\]|\\.)*\]\s*TJ|(?:\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\"))|\b(T\*|Td|TD|Tm|ET)\b", re.S)
+_PDF_SHOW = re.compile(rb"(\[(?:[^\]\\]|\\.)*\]\s*TJ|(?:\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\"))|\b(T\*|(?:Td|TD|Tm|ET)\b)", re.S)
 _PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
