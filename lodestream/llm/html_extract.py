@@ -1,9 +1,9 @@
 """Main text of web pages: flat text blocks, features of each block and its neighbours, a small decision tree.
 
 The page is cut into blocks at block-level tags. A block has its word count and link density, those of the
-blocks before and after it, and what its ancestors say (page furniture, names of classes and ids, article).
-A decision tree fitted to the small labelled table below tells main text from the rest; nothing else is
-dropped, and no length is capped.
+blocks before and after it, its share of the page's words, and what its ancestors say: furniture by tag or role,
+furniture by the whole words of their class and id names, article, heading. A decision tree, grown on the blocks of the
+small labelled pages below, tells main text from the rest; nothing else is dropped, and no length is capped.
 
 Defined cases: null and empty pages, and pages without main text, give the empty string; unclosed, stray and
 overlapping tags are tolerated; references are decoded; an empty table gives an empty result; repeated rows
@@ -62,9 +62,10 @@ class Block:
     text: str
     words: int
     linked: int
-    furniture: bool
+    tagged: bool
+    named: bool
     article: bool
-    heading: bool
+    heading: int  # 6 for h1 to 1 for h6, else 0
 
 
 @dataclass(slots=True)
@@ -72,7 +73,8 @@ class Element:
     tag: str
     above: int
     depth: int
-    marked: bool
+    by_tag: bool
+    by_name: bool
     article: bool
     main: bool
     readers: bool
@@ -82,7 +84,16 @@ class Element:
     open_article: bool = False
     holds_article: bool = False
     holds_main: bool = False
-    furniture: bool = False
+    tagged: bool = False  # with those above
+    named: bool = False
+
+    @property
+    def marked(self) -> bool:
+        return self.by_tag or self.by_name
+
+    @property
+    def furniture(self) -> bool:
+        return self.tagged or self.named
 
 
 def _judge(elements: list[Element]) -> None:
@@ -113,22 +124,23 @@ def _judge(elements: list[Element]) -> None:
         freed = []
         for e in level:
             up = elements[e.above] if e.above >= 0 else None
-            inherited = up is not None and up.furniture
-            if inherited and e.titles and not elements[up.above].furniture:
-                inherited = False
-            if e.marked and not inherited:
+            above = up
+            if up is not None and up.furniture and e.titles and not elements[up.above].furniture:
+                above = None
+            e.tagged, e.named = above is not None and above.tagged, above is not None and above.named
+            if e.marked and not e.furniture:
                 soft = e.tag not in FURNITURE_TAGS and e.words > clean and not (e.readers and clean_article)
                 if e.tag in WHOLE or e.holds_main or soft and (e.holds_article or not clean_article and 2 * e.words > total):
                     freed.append(e)
                     continue
-            e.furniture = inherited or e.marked
+            e.tagged, e.named = e.tagged or e.by_tag, e.named or e.by_name
         clean += sum(e.open_words for e in freed)
         clean_article |= any(e.open_article for e in freed)
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
-    """What an element says of itself: unseen, furniture, article, main, written by readers."""
-    unseen, furniture, article = tag in UNSEEN, tag in FURNITURE, tag in ("article", "main")
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool, bool]:
+    """What an element says of itself: unseen, furniture by tag or role, furniture by name, article, main, written by readers."""
+    unseen, furniture, named, article = tag in UNSEEN, tag in FURNITURE, False, tag in ("article", "main")
     main, readers = tag == "main", False
     if attributes:
         for name, value, hidden in _ATTRIBUTE.findall(attributes):
@@ -142,17 +154,17 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
                 main |= value == "main"
             elif name in ("class", "id"):
                 parts = set(_NAME_PART.findall(value))
-                furniture |= bool(parts & FURNITURE_NAMES)
+                named |= bool(parts & FURNITURE_NAMES)
                 readers |= bool(parts & READER_NAMES)
                 article |= bool(parts & ARTICLE_NAMES) and not parts & FURNITURE_NAMES
-    return unseen, furniture, article, main, readers
+    return unseen, furniture, named, article, main, readers
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag; with its ancestors: unseen, article; place in elements
-    elements: list[Element] = [Element("", -1, 0, False, False, False, False, False)]  # the page
+    elements: list[Element] = [Element("", -1, 0, False, False, False, False, False, False)]  # the page
     within: list[int] = []  # the element of each block
     pieces: list[str] = []
     linked: list[str] = []
@@ -164,8 +176,8 @@ def blocks(page: str) -> list[Block]:
             words = html.unescape("".join(pieces)).split()
             if words:
                 _, article, inner = stack[-1][1:] if stack else (False, False, 0)
-                heading = any(s[0] in HEADINGS for s in stack[-2:])
-                out.append(Block(" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), False, article, heading))
+                heading = max((7 - int(s[0][1]) for s in stack[-2:] if s[0] in HEADINGS), default=0)
+                out.append(Block(" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), False, False, article, heading))
                 within.append(inner)
                 elements[inner].words += out[-1].words - out[-1].linked
             pieces, linked = [], []
@@ -178,10 +190,10 @@ def blocks(page: str) -> list[Block]:
 
     def push(tag: str, attributes: str) -> None:
         above = stack[-1][1:] if stack else (False, False, 0)
-        unseen, furniture, article, main, readers = _marks(tag, attributes)
+        unseen, furniture, named, article, main, readers = _marks(tag, attributes)
         titles = tag in HEADINGS and len(stack) > 1 and stack[-1][0] == "header" and stack[-2][2]
         stack.append((tag, above[0] or unseen, above[1] or article, len(elements)))
-        elements.append(Element(tag, above[2], elements[above[2]].depth + 1, furniture, article, main, readers, titles))
+        elements.append(Element(tag, above[2], elements[above[2]].depth + 1, furniture, named, article, main, readers, titles))
 
     size = len(page)
     while at < size:
@@ -240,92 +252,93 @@ def blocks(page: str) -> list[Block]:
     end_block()
     _judge(elements)
     for block, inner in zip(out, within):
-        block.furniture = elements[inner].furniture
+        block.tagged, block.named = elements[inner].tagged, elements[inner].named
+    return out
+
+
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "share of the page", "page has an article", "tagged", "named", "article", "heading")
+
+
+def features(found: list[Block]) -> list[tuple]:
+    """Of each block of a page what the tree looks at; shares are of the words outside furniture and links."""
+    density = [b.linked / b.words for b in found]
+    plain = sum(b.words - b.linked for b in found if not (b.tagged or b.named)) or 1
+    article = any(b.article and not (b.tagged or b.named) for b in found)
+    out = []
+    for i, b in enumerate(found):
+        before = (found[i - 1].words, density[i - 1]) if i else (0, 0.0)
+        after = (found[i + 1].words, density[i + 1]) if i + 1 < len(found) else (0, 0.0)
+        out.append((b.words, density[i], *before, *after, b.words / plain, int(article), int(b.tagged), int(b.named), int(b.article), b.heading))
     return out
 
 
-#: The labelled table: words, link density, words and link density of the block before and after, furniture, article, heading; then 1 for main text.
+_MENU = "<nav><ul><li><a href=1>{x1}</a><li><a href=1>{x2}</a><li><a href=1>{x1}</a></ul></nav>"
+_PLAIN_MENU = "<div><a href=1>{x1}</a> <a href=1>{x2}</a> <a href=1>{x1}</a></div>"
+_FOOTER = "<footer><p>{x5} <a href=1>{x2}</a></p><p>{x8}</p></footer>"
+#: The labelled pages: {m9} stands for nine words of main text, {x9} for nine of anything else.
 LABELLED = [
-    # articles: paragraphs long and short, headings, lists, quotations, links inside
-    (40, 0.0, 6, 0.0, 55, 0.0, 0, 1, 0, 1),
-    (120, 0.02, 40, 0.0, 80, 0.0, 0, 1, 0, 1),
-    (6, 0.0, 1, 1.0, 40, 0.0, 0, 1, 1, 1),
-    (1, 0.0, 90, 0.0, 70, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 60, 0.0, 8, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 3, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (9, 1.0, 50, 0.0, 60, 0.0, 0, 1, 0, 1),
-    (15, 0.4, 30, 0.1, 20, 0.0, 0, 1, 0, 1),
-    (5, 0.0, 12, 0.0, 7, 0.8, 0, 1, 1, 1),
-    (4, 0.0, 0, 0.0, 200, 0.0, 0, 1, 1, 1),
-    (1, 1.0, 40, 0.0, 45, 0.0, 0, 1, 0, 1),
-    (300, 0.0, 2, 0.0, 5, 0.2, 0, 1, 0, 1),
-    (5, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (6, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0, 1),
-    (6, 0.5, 40, 0.0, 3, 1.0, 0, 1, 0, 1),
-    (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1),
-    (4, 1.0, 3, 1.0, 4, 1.0, 0, 1, 0, 1),
-    (12, 0.9, 10, 1.0, 14, 0.8, 0, 1, 0, 1),
-    (2, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1),
-    (3, 0.7, 2, 1.0, 2, 1.0, 0, 1, 0, 1),
-    (5, 0.0, 3, 0.0, 20, 0.1, 0, 1, 0, 1),
-    (4, 0.0, 0, 0.0, 1, 1.0, 0, 1, 1, 1),
-    # headings and titles of articles inside a header element of theirs
-    (7, 0.0, 1, 1.0, 35, 0.0, 0, 1, 1, 1),
-    # pages without an article element: running text
-    (60, 0.0, 5, 0.0, 45, 0.0, 0, 0, 0, 1),
-    (35, 0.03, 60, 0.0, 30, 0.1, 0, 0, 0, 1),
-    (80, 0.05, 2, 1.0, 90, 0.0, 0, 0, 0, 1),
-    (24, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (7, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1, 1),
-    (5, 0.0, 45, 0.0, 50, 0.0, 0, 0, 1, 1),
-    (9, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 35, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (16, 0.1, 25, 0.0, 18, 0.0, 0, 0, 0, 1),
-    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    # menus, breadcrumbs, link lists
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (4, 1.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0),
-    (6, 1.0, 1, 1.0, 30, 0.0, 0, 0, 0, 0),
-    (3, 0.7, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (12, 0.9, 10, 1.0, 14, 0.8, 0, 0, 0, 0),
-    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0),
-    (8, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
-    (5, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (2, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0),
-    (4, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 0),
-    (6, 0.3, 3, 1.0, 8, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0),
-    # adverts, notices and forms, also long ones and inside the article
-    (9, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0),
-    (45, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0),
-    (30, 0.1, 60, 0.0, 70, 0.0, 1, 1, 0, 0),
-    (3, 0.0, 55, 0.0, 40, 0.0, 1, 1, 0, 0),
-    (8, 1.0, 55, 0.0, 40, 0.0, 1, 1, 0, 0),
-    (25, 0.2, 0, 0.0, 1, 1.0, 1, 0, 0, 0),
-    (2, 0.0, 12, 0.0, 4, 0.0, 1, 0, 0, 0),
-    # headers, footers, sidebars
-    (5, 0.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0),
-    (20, 0.1, 60, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (110, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (7, 0.3, 20, 0.0, 4, 1.0, 1, 0, 0, 0),
-    (4, 0.0, 20, 0.0, 6, 0.9, 1, 0, 1, 0),
-    (5, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (6, 0.5, 40, 0.0, 3, 1.0, 0, 0, 0, 0),
-    # readers' comments
-    (50, 0.0, 3, 0.5, 3, 0.5, 1, 0, 0, 0),
-    (2, 0.5, 50, 0.0, 40, 0.0, 1, 0, 0, 0),
-    (70, 0.0, 2, 0.0, 2, 1.0, 1, 1, 0, 0),
-    (3, 0.0, 80, 0.0, 30, 0.0, 1, 1, 1, 0),
+    # articles among menus, footers, adverts, notices, forms
+    _MENU + "<article><h1>{m6}</h1><p>{m40}</p><div class=ad>{x12}</div><p>{m55}</p><ul><li>{m3}<li>{m8}</ul><p>{m7}</p></article>" + _FOOTER,
+    "<div class=cookie-notice>{x30}<button>{x2}</button></div>" + _MENU + "<article><header><h1>{m9}</h1><p class=byline>{x4}</p></header><p>{m120}</p><h2>{m3}</h2><p>{m2}</p><blockquote>{m15}</blockquote></article><aside><h3>{x2}</h3><p>{x40}</p></aside>" + _FOOTER,
+    _PLAIN_MENU + "<article><div class=post-header><h1>{m7}</h1></div><p>{m60}</p><div class=related><h3>{x2}</h3><a href=1>{x6}</a></div></article><div class=comments><h3>{x2}</h3><p>{x50}</p><p>{x9}</p></div>" + _FOOTER,
+    "<article><div class=page-header><h1>{m7}</h1></div><p>{m60}</p><div class=search-box><h2>{x2}</h2><p>{x20}</p></div><p>{m30}</p></article>",
+    "<p>{x9}</p><article><div class=header-title><h1>{m3}</h1></div><p>{m20}</p><div class=subscribe><h2>{x3}</h2><p>{x30}</p></div></article>",
+    _MENU + "<article><div class=entry-header><h1>{m4}</h1></div><p>{m25}</p><p>{m30}</p><div class=newsletter-signup><h3>{x4}</h3><p>{x14}</p></div></article><form>{x3}<input></form>",
+    "<header><h1>{x3}</h1><p>{x6}</p></header><main><article><h2>{m5}</h2><p>{m18}</p><p><a href=1>{m3}</a></p><p>{m12} <a href=1>{m9}</a></p><p><a href=1>{m6}</a></p></article><section class=comments><p>{x70}</p></section></main>" + _FOOTER,
+    "<article><p>{m5}</p></article><footer>{x4}</footer>",
+    "<article><h1>{m2}</h1></article>" + _PLAIN_MENU,
+    _MENU + "<div class=breadcrumbs><a href=1>{x1}</a> {x1}</div><article><h1>{m8}</h1><p>{m3}</p><p>{m200}</p><table><tr><td>{m1}<td>{m2}</table><div class=share>{x3}</div></article><p>{x20}</p><p>{x6}</p>",
+    "<article><h1>{m5}</h1><p>{m45}</p><aside><p>{x25}</p></aside><p>{m50}</p><section class=comments><h3>{x2}</h3><p>{x30}</p></section></article>" + _FOOTER,
+    "<p>{x9}</p><article><h1>{m6}</h1><div class=advert><h3>{x3}</h3><p>{x45}</p></div><p>{m35}</p></article><p>{x60}</p>",
+    "<article><p>{m4}</p><p>{m60}</p></article>",
+    _MENU + "<article><h1>{m3}</h1><p>{m30}</p><p>{m20}</p><p>{m3}</p></article>",
+    "<article><h1>{m5}</h1><nav><a href=1>{x3}</a> <a href=1>{x2}</a></nav><p>{m40}</p><div class=toc>{x9}</div><p>{m50}</p><ul><li><a href=1>{m3}</a><li><a href=1>{m5}</a></ul></article>",
+    _MENU + "<article><h1>{m5}</h1><p>{m300}</p><p>{m200}</p><p>{m4}</p></article>",
+    "<article><p>{m150}</p><p>{m6}</p><p>{m3}</p></article>",
+    _MENU + "<div class=ad>{x9}</div><article><h1>{m5}</h1><p>{m90}</p><p>{m2}</p><p>{m400}</p><p>{m1}</p><p>{m2}</p></article>",
+    "<div class=promo>{x10}</div><article><p>{m2}</p><p>{m20}</p><footer>{x6}</footer></article>",
+    "<article><h2>{m4}</h2><p>{m15}</p><p>{m80}</p></article><div>{x3}</div>",
+    # running text without an article element
+    "<h1>{m4}</h1><p>{m50}</p><p>{m40}</p>",
+    "<p>{m30}</p><p>{m20}</p><p>{m6}</p>",
+    _PLAIN_MENU + "<div><h1>{m5}</h1><p>{m60}</p><p>{m45}</p><p>{m9}</p><p>{m80}</p></div><div>{x3} <a href=1>{x2}</a></div>",
+    _MENU + "<h1>{m6}</h1><p>{m35} <a href=1>{m1}</a></p><p>{m60}</p><h2>{m2}</h2><p>{m30}</p><p>{m3}</p><p>{m40}</p>" + _FOOTER,
+    "<div class=header>{x4}</div><div><p>{m24}</p><p>{m16}</p><p>{m18}</p></div><div class=sidebar><h3>{x2}</h3><p>{x110}</p></div><div class=footer>{x7}</div>",
+    "<div><a href=1>{x2}</a></div><div><a href=1>{x4}</a></div><div>{m90}</div><div><a href=1>{x3}</a> {x1}</div><div>{x4}</div>",
+    _PLAIN_MENU + "<h1>{m7}</h1><div>{m50}<br>{m40}</div><div>{m70}</div>" + _PLAIN_MENU + "<div>{x2}</div>",
+    # short pages
+    "<p>{m5}</p><p>{m6}</p>",
+    "<p>{m12}</p>",
+    "<h1>{m2}</h1><p>{m7}</p><p>{m4}</p>",
+    _MENU + "<p>{m8}</p><p>{m5}</p>" + _FOOTER,
+    "<div>{m1}</div>",
+    # nothing but lists of links and scraps
+    _PLAIN_MENU + _PLAIN_MENU + "<div><a href=1>{x12}</a> {x1}</div><div><a href=1>{x14}</a></div>",
+    _MENU + _FOOTER,
+    "<div class=login><p>{x9}</p></div><form>{x12}</form>",
 ]
 
 
-def grow(rows: list[tuple], depth: int = 8):
-    """A classification tree by Gini impurity: a leaf's class, or (feature, threshold, tree up to it, tree beyond)."""
+#: The labelled pages are taken as they stand and with other numbers of words: factors for main text and for the rest.
+FACTORS = ((1, 1), (0.3, 1), (2.5, 1), (1, 0.4), (1, 3), (0.3, 3), (4, 0.5))
+
+
+def labelled_rows() -> list[tuple]:
+    """The features of the labelled pages' blocks, then 1 for main text."""
+    rows = []
+    for main, rest in FACTORS:
+        count = lambda m: max(1, round(int(m[2]) * (main if m[1] == "m" else rest)))  # noqa: B023, E731
+        for page in LABELLED:
+            found = blocks(re.sub(r"\{([mx])(\d+)\}", lambda m: " ".join([m[1]] * count(m)), page))
+            rows += [(*f, int(b.text[0] == "m")) for f, b in zip(features(found), found)]
+    return rows
+
+
+def grow(rows: list[tuple], depth: int = 8, least: int = 4):
+    """A classification tree by Gini impurity: a leaf's class, or (feature, threshold, tree up to it, tree beyond).
+
+    A leaf has at least so many rows.
+    """
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
         return int(2 * ones > len(rows))
@@ -340,36 +353,31 @@ def grow(rows: list[tuple], depth: int = 8):
         for low, high in zip(values, values[1:]):
             at = (low + high) / 2
             left, right = [r for r in rows if r[k] <= at], [r for r in rows if r[k] > at]
+            if min(len(left), len(right)) < least:
+                continue
             cost = impurity(left) + impurity(right)
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, k, at, left, right)
     if best is None:
         return int(2 * ones > len(rows))
     _, k, at, left, right = best
-    return (k, at, grow(left, depth - 1), grow(right, depth - 1))
+    return (k, at, grow(left, depth - 1, least), grow(right, depth - 1, least))
 
 
-def decide(tree, features: tuple) -> int:
+def decide(tree, row: tuple) -> int:
     while not isinstance(tree, int):
         k, at, left, right = tree
-        tree = left if features[k] <= at else right
+        tree = left if row[k] <= at else right
     return tree
 
 
-TREE = grow(LABELLED)
+TREE = grow(labelled_rows())
 
 
 def main_text(page: str | None, tree=TREE) -> str:
     """The blocks that the tree takes for main text, one a line."""
     found = blocks(page or "")
-    density = [b.linked / b.words for b in found]
-    kept = []
-    for i, b in enumerate(found):
-        before = (found[i - 1].words, density[i - 1]) if i else (0, 0.0)
-        after = (found[i + 1].words, density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        if decide(tree, (b.words, density[i], *before, *after, int(b.furniture), int(b.article), int(b.heading))):
-            kept.append(b.text)
-    return "\n".join(kept)
+    return "\n".join(b.text for b, f in zip(found, features(found)) if decide(tree, f))
 
 
 def extract(pages: DataFrame, *, html_column: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
