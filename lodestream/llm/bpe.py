@@ -28,9 +28,9 @@ from lodestream.llm.tables import table, whole_text
 from lodestream.llm.workers import held, tidy
 
 #: Chunks that a worker remembers; at about 400 bytes each this bounds the cache by some 160 MB.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 #: Characters of text that one round of batching takes.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 #: New words that share one flat symbol array.
 WORDS_AT_ONCE = 250_000
 

@@ -39,7 +39,7 @@ FIT_CHARS, FIT_TOTAL = 100_000, 8_000_000
 BUCKETS = 1 << 20
 NGRAMS = (3, 4, 5, 6)
 #: Words whose score a worker remembers (about 120 bytes each).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
