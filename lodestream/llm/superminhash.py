@@ -4,11 +4,16 @@ One scan turns every text into the set of its word shingles (64-bit hashes), a S
 one key per band. Texts with equal sets become one class. Within a bucket each class is compared with the
 bucket's smallest class and with a neighbour in hash order, which links most groups in a number of pairs
 linear in the rows. What is still apart in a bucket is then compared on the full sets inside tasks, block by
-block, and only links between groups leave a task. Every link is confirmed on the full sets before it counts.
+block, and only links between groups leave a task. A bucket of more than BLOCK rows is not compared as a whole:
+its rows meet where they share one of the rarest shingles that a similar set must have (the prefix filter, which loses
+no pair: if two sets are similar enough, so many of the rarest shingles of each contain a common one), so texts that
+only share what is common in the corpus don't meet. Every link is confirmed on the full sets before it counts.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing; with
-fewer words than a shingle takes, the whole sequence is one shingle; rows that repeat an identifier are
-expected to repeat its text; an empty table gives an empty result; only the key and the text are read.
+fewer words than a shingle takes, the whole sequence is one shingle; null identifiers are not linked, and take the
+component of an equal set if there is one; rows that repeat an identifier are expected to repeat its text, and each get
+its result; a component is named by its smallest identifier, so there are no ties; very long texts are hashed whole; an
+empty table gives an empty result; only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -33,6 +38,9 @@ BLOCK = 512
 #: Columns of the 0/1 matrices that count common hashes (at most BLOCK rows and those that seek, of 4 bytes each).
 COLUMNS = 8192
 
+#: Cells of the table that tells rare shingles from common ones; any table gives the same links.
+CELLS = 1 << 16
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -241,6 +249,56 @@ def _linked(percent: int):
     return run
 
 
+def _prefixes(counts: np.ndarray, percent: int):
+    """Rows (id, component, hashes) to (id, component, rare): as many of a set's rarest hashes as a similar set must share one of."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            rare = []
+            for i in range(batch.num_rows):
+                own = lists[i].values.to_numpy()
+                n = len(own)
+                rare.append(own[np.lexsort((own, counts[own & (CELLS - 1)]))[: n - (percent * n + 99) // 100 + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rare, pa.list_(pa.int64()))], names=["id", "component", "rare"])
+
+    return run
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Of keys (bucket) whose rows are in several components: rows, main (the largest component), seekers (rows outside of it)."""
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    found = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("rows"), F.max(F.struct("size", "component")).alias("main")).filter("parts > 1")
+    return found.select("bucket", "rows", F.col("main.component").alias("main"), (F.col("rows") - F.col("main.size")).alias("seekers"))
+
+
+def _open_blocks(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What is still to be compared: blocks (bucket, block) of at most about 2 x BLOCK rows (id, component, wanted, hashes).
+
+    Every two rows that share a bucket, are in different components and can be similar meet in a block.
+    """
+    named = met.select("bucket", "id").join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = cut(_mixed(named))
+    left = named.join(open_.filter(F.col("rows") <= BLOCK), "bucket")
+    if open_.filter(F.col("rows") > BLOCK).limit(1).count():
+        crowd = named.join(open_.filter(F.col("rows") > BLOCK).select("bucket"), "bucket", "left_semi").select("id", "component").distinct()
+        crowd = cut(crowd.join(sets, "id").select("id", "component", "hashes"))
+        counts = np.zeros(CELLS, np.int64)
+        for r in crowd.select(F.explode("hashes").alias("h")).groupBy(F.expr(f"cast(h & {CELLS - 1} as int)").alias("cell")).count().collect():  # at most CELLS rows
+            counts[r[0]] = r[1]
+        rare = crowd.mapInArrow(tidy(_prefixes(counts, percent)), "id long, component long, rare array<long>")
+        sharing = cut(rare.select(F.explode("rare").alias("bucket"), "id", "component"))
+        left = left.unionByName(sharing.join(_mixed(sharing), "bucket"))
+    left = left.withColumn("wanted", F.col("component") != F.col("main"))
+    left = left.withColumn("rows_of", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("seekers_of", F.ceil(F.col("seekers") / BLOCK).cast("int"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("rows_of")).cast("int")).withColumn("seeks", F.pmod(F.xxhash64("id", F.lit(2)), F.col("seekers_of")).cast("int"))
+    # block (i, j) holds the i-th part of the rows and the j-th part of those that seek, so its size is bounded
+    stands = "transform(sequence(0, seekers_of - 1), j -> named_struct('block', own * seekers_of + j, 'wanted', wanted and j = seeks))"
+    comes = "transform(filter(sequence(0, rows_of - 1), i -> wanted and i != own), i -> named_struct('block', i * seekers_of + seeks, 'wanted', true))"
+    placed = left.selectExpr("bucket", "id", "component", f"explode(concat({stands}, {comes})) as at").select("bucket", "at.block", "id", "component", "at.wanted")
+    return placed.join(sets, "id").select("bucket", "block", "id", "component", "wanted", "hashes").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b")
@@ -270,19 +328,7 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     sets = cut(source.join(involved, "id", "left_semi").mapInArrow(tidy(_hashed_sets(width)), "id long, hashes array<long>").dropDuplicates(["id"]))
     links = cut(_confirm(pairs, sets, percent))
     grouped = components(links)
-    # buckets that still hold several components: all rows that are not of the largest one meet all rows, block by block
-    named = met.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    open_ = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main")).filter("parts > 1")
-    open_ = open_.select("bucket", F.col("main.component").alias("main"), (F.col("all") - F.col("main.size")).alias("seekers"))
-    left = named.join(open_, "bucket").withColumn("wanted", F.col("component") != F.col("main"))
-    left = left.withColumn("rows_of", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("seekers_of", F.ceil(F.col("seekers") / BLOCK).cast("int"))
-    left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("rows_of")).cast("int")).withColumn("seeks", F.pmod(F.xxhash64("id", F.lit(2)), F.col("seekers_of")).cast("int"))
-    # block (i, j) holds the i-th part of the rows and the j-th part of those that seek, so its size is bounded
-    stands = "transform(sequence(0, seekers_of - 1), j -> named_struct('block', own * seekers_of + j, 'wanted', wanted and j = seeks))"
-    comes = "transform(filter(sequence(0, rows_of - 1), i -> wanted and i != own), i -> named_struct('block', i * seekers_of + seeks, 'wanted', true))"
-    placed = left.selectExpr("bucket", "id", "component", f"explode(concat({stands}, {comes})) as at").select("bucket", "at.block", "id", "component", "at.wanted")
-    dealt = placed.join(sets, "id").select("bucket", "block", "id", "component", "wanted", "hashes").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    dealt = _open_blocks(met, grouped, sets, percent)
     fresh = cut(dealt.mapInArrow(tidy(_linked(percent)), "a long, b long").distinct())
     if fresh.limit(1).count():
         grouped = components(links.unionAll(fresh))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestream.llm import bpe, chat, html_extract, iblt, mixing, patricia, repair, suffixes, superminhash, toxicity
@@ -110,6 +111,45 @@ def test_large_near_group_in_blocks(spark, monkeypatch):
     assert found == brute_components(rows, 3, 85)
 
 
+def test_texts_that_share_a_template(spark, monkeypatch):
+    """More rows than a block takes, most of a text common to all: the rare shingles decide who meets."""
+    monkeypatch.setattr(superminhash, "BLOCK", 8)
+    monkeypatch.setattr(superminhash, "BANDS", 40)
+    monkeypatch.setattr(superminhash, "ROWS", 2)
+    frame = prose(70)
+    rows = []
+    for i in range(90):
+        own = prose(25) if i % 3 else f"{rows[-1][1].rsplit(' # ', 1)[1]} more" if i else prose(25)
+        rows.append((i, f"{frame} # {own}", "en", "a", 1, ""))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in superminhash.near_groups(spark.createDataFrame(rows, SCHEMA), width=3, percent=85).collect()}
+    assert found == brute_components(rows, 3, 85)
+    assert len({c for _, c in found.values()}) > 20
+
+
+def test_a_bucket_of_very_many_different_classes(spark):
+    """5000 sets that share 60 of 100 hashes with all others, and 40 pairs that are similar: no pair is lost, and the work is linear."""
+    random_ = np.random.default_rng(8)
+    common = random_.integers(-(2**62), 2**62, 60)
+    sets = [np.unique(np.concatenate([common, random_.integers(-(2**62), 2**62, 40)])) for _ in range(5000)]
+    for k in range(40):
+        sets[2 * k + 1] = np.unique(np.concatenate([sets[2 * k][:-7], random_.integers(-(2**62), 2**62, 7)]))
+    near = {(2 * k, 2 * k + 1) for k in range(40) if 100 * len(np.intersect1d(sets[2 * k], sets[2 * k + 1])) >= 85 * len(np.union1d(sets[2 * k], sets[2 * k + 1]))}
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "id long, hashes array<long>").repartition(4)
+    met = frame.select("id").withColumn("bucket", F.lit(1).cast("long"))
+    none = spark.createDataFrame([], "node long, component long")
+    dealt = superminhash._open_blocks(met, none, frame, 85)
+    assert dealt.count() < 3 * 5000
+    links = {(r.a, r.b) for r in dealt.mapInArrow(superminhash._linked(85), "a long, b long").collect()}
+    assert links == near and len(near) > 30
+
+
+def test_near_groups_of_null_and_repeated_ids_and_a_very_long_text(spark):
+    long, other = prose(60_000), prose(40)
+    rows = [(7, long), (3, long + " more"), (None, other), (None, other), (9, other), (9, other), (5, None), (None, None), (4, " ")]
+    out = superminhash.near_groups(spark.createDataFrame([(k, t, "en", "a", 1, "") for k, t in rows], SCHEMA), width=3, percent=85).collect()
+    assert sorted(((r.doc_id or -1, r.component_id) for r in out), key=repr) == sorted([(7, 3), (3, 3), (-1, 9), (-1, 9), (9, 9), (9, 9), (5, 5), (-1, None), (4, 4)], key=repr)
+
+
 def test_one_of_each_and_empty(docs, empty):
     kept = superminhash.one_of_each(docs)
     assert kept.columns == docs.columns
