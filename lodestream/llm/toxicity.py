@@ -34,7 +34,7 @@ from lodestream.llm.workers import held, tidy
 
 #: Labelled documents that the fit uses of each class at most, characters of one of them and of all of a class at most.
 FIT_PER_CLASS = 3000
-FIT_CHARS, FIT_TOTAL = 100_000, 8_000_000
+FIT_CHARS, FIT_TOTAL = 100_000, 6_000_000
 #: Embedding rows; n-grams share them by hash.
 BUCKETS = 1 << 20
 NGRAMS = (3, 4, 5, 6)
@@ -101,8 +101,8 @@ class Sample:
             ids = np.array([number.setdefault(c, len(number)) for c in map(core, words_of(text)) if c], np.int64)
             if len(ids):
                 word, count = np.unique(ids, return_counts=True)
-                row.append(np.full(len(word), i))
-                col.append(word)
+                row.append(np.full(len(word), i, np.int32))
+                col.append(word.astype(np.int32))
                 value.append(count / len(ids))
         self.y = np.asarray(labels)
         self.row, self.col, self.value = (np.concatenate(x) for x in (row, col, value))
@@ -122,7 +122,9 @@ class Sample:
         self.per_word = np.bincount(owner, minlength=self.words)
         self.first = np.cumsum(self.per_word) - self.per_word
         by_bucket = np.argsort(bucket, kind="stable")
-        self.word_of, self.first_of = owner[by_bucket], np.searchsorted(bucket[by_bucket], np.arange(len(self.used)))
+        self.word_of = owner[by_bucket]
+        times = np.bincount(bucket, minlength=len(self.used))
+        self.first_of = np.cumsum(times) - times
 
     def logits(self, gain: np.ndarray) -> np.ndarray:
         """The average over words of the average over n-grams."""
@@ -158,7 +160,7 @@ def _descend(sample: Sample, evidence: np.ndarray, out: np.ndarray, steps: int,
     """
     y, n = sample.y, len(sample.used)
     random = np.random.default_rng(seed)
-    params = {"embed": np.zeros((n, width)), "soft": random.normal(0, width**-0.5, (width, 2)), "bias": np.zeros(2)}
+    params = {"embed": np.zeros((n, width), np.float32), "soft": random.normal(0, width**-0.5, (width, 2)).astype(np.float32), "bias": np.zeros(2)}
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     weight = np.sqrt(1 / (np.bincount(y[~out], minlength=2) / (~out).sum()))[y]
@@ -175,17 +177,17 @@ def _descend(sample: Sample, evidence: np.ndarray, out: np.ndarray, steps: int,
         elif step - best[0] > patience:
             break
         error = (p - y) * inner
-        back = evidence * sample.slope(error) * scale
+        back = (evidence * sample.slope(error) * scale).astype(np.float32)
         both = np.stack([-back, back], 1)
         slope = {"embed": both @ params["soft"].T, "soft": params["embed"].T @ both, "bias": np.array([-error.sum(), error.sum()])}
         for k, g in slope.items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.01 * (g * g - second[k])
             params[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     return best[:3]
 
 
-def fit(texts: list[str], labels: list[int], *, width: int = 8, steps: int = 120, patience: int = 15, rate: float = 0.1, scale: float = 40.0, strength: float = 5.0, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], *, width: int = 4, steps: int = 120, patience: int = 15, rate: float = 0.1, scale: float = 40.0, strength: float = 5.0, seed: int = 7) -> Model:
     """Embeddings (width numbers a bucket) and softmax (width x 2) together; see the module's text."""
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), -50.0, scale)
