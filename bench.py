@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["cosine_topk", "cosine_topk_batch", "ivf_topk", "bm25_topk", "rank_fusion", "index_counts", "chunk_documents", "op2_toxicity", "op3_minhash", "op4_bpe", "op5_token_files", "op6_suffix_dedup", "op7_mixing", "op8_html", "op9_exact_dedup", "op10_fingerprints"]
+HEADLINE = ["cosine_topk", "cosine_topk_batch", "ivf_topk", "bm25_topk", "rank_fusion", "hybrid_retrieval", "index_counts", "chunk_documents", "file_changes", "postings_upkeep", "rolling_samples", "working_sets", "op1_chat", "op2_toxicity", "op3_minhash", "op4_bpe", "op5_token_files", "op6_suffix_dedup", "op7_mixing", "op8_html", "op9_exact_dedup", "op10_fingerprints", "pipeline"]
 
 
 def main() -> None:
