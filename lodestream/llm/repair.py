@@ -21,7 +21,6 @@ import base64
 import json
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.tables import table, whole_text
 from lodestream.llm.workers import held, tidy
-from lodestream.session import cut, shared_dir
+from lodestream.session import cut, scratch
 
 #: Bytes of text in one shard; a longer document is a shard of its own.
 SHARD_BYTES = 4 << 20
@@ -352,6 +351,6 @@ def read(spark: SparkSession, folder: str, *, with_ids: bool = True) -> DataFram
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tokens")
     write(table(spark, sf_dir, "documents"), folder)
     return read(spark, folder, with_ids=False).withColumnRenamed("key", "doc_id")

@@ -88,7 +88,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     hashes, owner = word_hashes(texts)
     count = np.bincount(owner, minlength=len(texts))
     rolled = hashes.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, len(hashes) + 1)):
         rolled[: len(hashes) - k] = _mix(rolled[: len(hashes) - k] * np.uint64(0x100000001B3) + hashes[k:])
     out, at = [], 0
     for n in count.tolist():

@@ -445,7 +445,29 @@ def test_mixing(spark):
         assert abs(taken[s] - target[s]) <= 0.25 * target[s] + 1
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in plan)
-    assert sorted(map(tuple, plan)) == sorted(map(tuple, mixing.plan(docs.repartition(5)).collect())) if None not in sizes else True
+    assert sorted(map(tuple, plan), key=repr) == sorted(map(tuple, mixing.plan(docs.repartition(5)).collect()), key=repr)
+
+
+def test_mixing_of_repeated_rows_ties_and_very_long_texts(spark):
+    """Repeated rows are documents of their own that share one draw; sources of equal size and weight have equal targets."""
+    long = "w " * 200_000
+    rows = [(1, "a b c", "s0")] * 4 + [(None, "x", "s1")] * 2 + [(5, long, "s2"), (6, None, "s3"), (7, "", "s3"), (8, long, "s5")]
+    docs = spark.createDataFrame([(k, t, "en", s, 1, "") for k, t, s in rows], SCHEMA)
+    plan = mixing.plan(docs).collect()
+    assert len(plan) == len(rows) and len({r.copies for r in plan if r.key == 1}) == 1
+    by = {r.source: r for r in plan}
+    assert by["s2"]["size"] == 200_000 and by["s3"].target == 0 and by["s3"].copies == 0
+    assert all(r.copies <= 2 for r in plan)
+    assert mixing.mix(docs).count() == sum(r.copies for r in plan)
+
+
+def test_bpe_of_null_and_repeated_ids_and_a_very_long_text(spark, empty):
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    long = prose(60_000)
+    rows = [(None, "Ab c"), (None, None), (3, "x"), (3, "x"), (3, "y"), (4, long)]
+    out = bpe.encode(spark.createDataFrame([(k, t, "en", "a", 1, "") for k, t in rows], SCHEMA), outputs=("n_tokens", "ids")).collect()
+    told = sorted(((k is not None, k or 0, library.encode(t or "", add_special_tokens=False).ids) for k, t in rows))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in out) == told and all(r.n_tokens == len(r.ids) for r in out)
 
 
 def test_mixing_empty(empty):
