@@ -35,7 +35,7 @@ def merged(results: DataFrame, k: int) -> DataFrame:
 def candidates(passages: DataFrame, queries: DataFrame, *, lexical: int, semantic: int, groups: int, dim: int) -> DataFrame:
     """(query_id, id, group, similarity, keyword): every candidate of either arm with both scores (null: not comparable, not hit)."""
     docs = passages.select("id", "text")
-    hits = text_search.ranks(text_search.bm25(docs, queries.select("query_id", "text")), "place", lexical)
+    hits = text_search.bm25_top(docs, queries.select("query_id", "text"), lexical)
     hits = first_groups(hits.join(passages.select("id", "group"), "id"), groups)
     asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
     near = vector_search.top_k(passages.select("id", "vector"), asked, semantic, dim)

@@ -7,12 +7,20 @@ leave their task, and counts are combined before they are shuffled. Postings can
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import tokens
+from lodestream.operators.vector_search import FOUND, SCORES, Best, ranked
 
 K1, B = 1.2, 0.75
+#: Pairs of a query and a term that are broadcast in one block of queries (12 bytes each, and the terms).
+BROADCAST_PAIRS = 2_000_000
 #: Terms of a batch of queries that are broadcast; beyond, the join is a shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -51,6 +59,99 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, f
     return scored.join(hint(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def _blocks(queries: DataFrame, most: int | None) -> Iterator[tuple[list, list[str], np.ndarray, np.ndarray]]:
+    """Queries in blocks of a bounded number of terms: their ids, the distinct terms, and the pairs of a term and a query, by term."""
+    ids: list = []
+    lists: list[list[str]] = []
+    held = 0
+
+    def block():
+        number: dict[str, int] = {}
+        term = np.array([number.setdefault(t, len(number)) for ts in lists for t in ts], np.int64)
+        query = np.repeat(np.arange(len(ids)), [len(ts) for ts in lists])
+        order = np.argsort(term, kind="stable")
+        return ids, list(number), term[order], query[order]
+
+    asked = query_terms(queries, most).groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    for r in asked.orderBy("query_id").toLocalIterator():
+        if ids and held + len(r[1]) > BROADCAST_PAIRS:
+            yield block()
+            ids, lists, held = [], [], 0
+        ids.append(r[0])
+        lists.append(r[1])
+        held += len(r[1])
+    if ids:
+        yield block()
+
+
+def _counted(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the batch's documents: their lengths, then document, term and count of every asked term that they hold."""
+    lists = batch.column(1)
+    length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = pc.index_in(lists.flatten(), terms).fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(found >= 0)
+    document = np.repeat(np.arange(len(length)), length)[at]
+    key, count = np.unique(document * len(terms) + found[at], return_counts=True)
+    return length, key // len(terms), key % len(terms), count
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, *, k1: float = K1, b: float = B, floor: float = 1e-6, most: int | None = None) -> DataFrame:
+    """The k best documents of each query by bm25(): (query_id, id, score, place).
+
+    One pass counts the asked terms' documents, a second one scores in tasks, by products of sparse matrices, and keeps
+    one running top k per query, so scores of other documents never leave their task.
+    """
+    spark, out = docs.sparkSession, None
+    cut_up = docs.select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("tokens"))
+    for ids, listed, term, query in _blocks(queries, most):
+        words = spark.sparkContext.broadcast(listed)
+
+        def count(batches, words=words):
+            terms, total = pa.array(words.value, pa.string()), np.zeros(len(words.value) + 2, np.int64)
+            for batch in batches:
+                length, _, held, _ = _counted(batch, terms)
+                total[:-2] += np.bincount(held, minlength=len(terms))
+                total[-2:] += (len(length), length.sum())
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "n"])
+
+        sums = cut_up.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per asked term
+        total = np.zeros(len(listed) + 2, np.int64)
+        for r in sums:
+            total[r[0]] = r[1]
+        n_all, n_words = total[-2:].tolist()
+        idf = np.maximum(np.log((n_all - total[:-2] + 0.5) / (total[:-2] + 0.5)), floor)
+        times = np.bincount(term, minlength=len(listed))
+        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), idf, query, np.cumsum(times) - times, times))
+
+        def score(batches, words=words, sent=sent, n_all=n_all, n_words=n_words):
+            names, weight, asking, first, times = sent.value
+            terms, best, step = pa.array(words.value, pa.string()), Best(len(names), k), max(1, SCORES // len(names))
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    length, document, held, count = _counted(batch, terms)
+                    part = weight[held] * (count * (k1 + 1) / (count + k1 * (1 - b + b * length[document] * n_all / n_words)))
+                    n = times[held]
+                    ends = np.cumsum(n)
+                    if not len(ends):
+                        continue
+                    met = asking[np.repeat(first[held] - (ends - n), n) + np.arange(ends[-1])]
+                    place = met * len(length) + np.repeat(document, n)
+                    scores = np.bincount(place, np.repeat(part, n), len(names) * len(length)).reshape(len(names), -1)
+                    hit = np.bincount(place, minlength=scores.size).reshape(scores.shape) > 0
+                    own = batch.column(0).to_numpy()
+                    for q in range(len(names)):
+                        here = np.flatnonzero(hit[q])
+                        best.add(q, np.round(scores[q, here], 6), own[here])
+            yield best.batch(names)
+
+        found = cut_up.filter("id is not null").mapInArrow(score, FOUND)
+        out = found if out is None else out.unionAll(found)
+    out = spark.createDataFrame([], FOUND) if out is None else out
+    return ranked(out, k).select("query_id", "id", "score", (F.col("rank") - 1).alias("place"))
+
+
 def ranks(scored: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """The rank of each row within its query, from 0, best first, ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

@@ -75,7 +75,7 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.scores))], names=["query_id", "id", "score"])
 
 
-_FOUND = "query_id long, id long, score double"
+FOUND = "query_id long, id long, score double"
 
 
 def _usable(vectors: DataFrame, dim: int, *more: str) -> DataFrame:
@@ -111,10 +111,10 @@ def _best_of(vectors: DataFrame, queries: DataFrame, k: int, dim: int, probed=No
                             best.add(q, scores[:, j], own[inside])
             yield best.batch(names)
 
-        part = usable.mapInArrow(run, _FOUND)
+        part = usable.mapInArrow(run, FOUND)
         out = part if out is None else out.unionAll(part)
     if out is None:
-        out = spark.createDataFrame([], _FOUND)
+        out = spark.createDataFrame([], FOUND)
     return ranked(out, k)
 
 

@@ -96,7 +96,7 @@ scored AS (
 
 @register("bm25_topk", _BM25 + "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS place FROM scored QUALIFY place < 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_search.ranks(text_search.bm25(_docs(spark, sf_dir), _benchmark(spark, sf_dir)), "place", 20)
+    return text_search.bm25_top(_docs(spark, sf_dir), _benchmark(spark, sf_dir), 20)
 
 
 @register(

@@ -94,6 +94,18 @@ def test_bm25_equals_the_full_text_index_of_sqlite(spark):
     assert {r.id: r.score for r in found} == pytest.approx(expected, abs=2e-6)
 
 
+def test_top_of_bm25_equals_all_of_it(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(random.choice(words, random.integers(0, 12)))) for i in range(300)] + [(900, None)], "id long, text string").repartition(4)
+    asked = spark.createDataFrame([(q, " ".join(random.choice(words, 4))) for q in range(9)] + [(50, ""), (51, "none of it")], "query_id long, text string")
+    every = text_search.ranks(text_search.bm25(docs, asked), "place", 7).collect()
+    for pairs in (2_000_000, 5):
+        monkeypatch.setattr(text_search, "BROADCAST_PAIRS", pairs)
+        top = text_search.bm25_top(docs, asked, 7).collect()
+        assert sorted((r.query_id, r.place, r.id, round(r.score, 5)) for r in top) == sorted((r.query_id, r.place, r.id, round(r.score, 5)) for r in every)
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 10, 0), (1, 11, 1)], "query_id long, id long, rank int")
     b = spark.createDataFrame([(1, 11, 0), (1, 12, 1)], "query_id long, id long, rank int")
