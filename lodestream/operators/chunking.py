@@ -68,20 +68,22 @@ def chunk(markdown: str | None, budget: int = 400, overlap: int = 50) -> list[tu
 
 
 def chunks(docs: DataFrame, *, budget: int = 400, overlap: int = 50) -> DataFrame:
-    """docs(id, text) to (id, ordinal, headings, text, tokens)."""
+    """docs(id, text) to (id, ordinal, headings, text, tokens); the identifier keeps its type."""
     if not 0 <= overlap < budget:
         raise ValueError("the overlap has to be less than the budget")
 
     def run(batches):
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys = batch.column(0)
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 found = chunk(text, budget, overlap)
                 if found:
                     headings, texts = zip(*found)
-                    columns = [pa.array([key] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(headings, pa.string()), pa.array(texts, pa.string()), pa.array([-(-len(t) // CHARS_A_TOKEN) for t in texts], pa.int64())]
+                    columns = [keys.take(pa.array([i] * len(found))), pa.array(range(len(found)), pa.int32()), pa.array(headings, pa.string()), pa.array(texts, pa.string()), pa.array([-(-len(t) // CHARS_A_TOKEN) for t in texts], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "ordinal", "headings", "text", "tokens"])
 
-    return docs.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, ordinal int, headings string, text string, tokens long")
+    source = docs.select("id", F.col("text").cast("string"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ordinal int, headings string, text string, tokens long")
 
 
 def with_context(found: DataFrame, title: Column | None = None) -> DataFrame:
