@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import vectors
 from lodestream.operators import chunking, text_search, vector_search
-from lodestream.plans import retrieval, telemetry, upkeep  # noqa: F401
+from lodestream.plans import retrieval, sources, telemetry, upkeep  # noqa: F401
 from lodestream.registry import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in ("documents", "embeddings", "benchmark", "conversations", "labels", "pages", "events"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "labels", "pages", "events", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     frame = queries()[name](spark, SF)
     columns = sorted(frame.columns)
