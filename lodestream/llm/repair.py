@@ -1,6 +1,6 @@
 """Token ids in files compressed by Re-Pair grammars, written and read back shard by shard.
 
-Documents are dealt by ranges of their key and sorted, so the files hold them in ascending order. A task cuts
+Documents are dealt by ranges of their key, and of a text hash within it, and sorted, so the files hold them in ascending order. A task cuts
 its documents into shards of bounded size. A shard's ids are one sequence: round by round, adjacent pairs that
 occur LEAST_COUNT times or more become nonterminals, where two overlap the more frequent one, until no pair is left
 whose rule saves bytes. Pairs never cross a document's edge. A file keeps the rules, each rule's expansion length,
@@ -11,7 +11,7 @@ as fast; tests hold both against each other on every code point and on mixed whi
 pattern engine gives up on (some hundred thousand white space characters in a row) goes to the tokenizers library.
 
 Defined cases: null text counts as empty (only the end id); rows that share a key are separate documents in the
-order of their texts, equal rows are written once each; null keys come first; a very long text is a shard of its own;
+order of a hash of their texts (so that many of them are dealt to several tasks), equal rows are written once each; null keys come first; a very long text is a shard of its own;
 an empty table gives no files and an empty result; only the key and the text are read, so other columns cannot clash.
 """
 
@@ -315,8 +315,9 @@ def write(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "tex
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
     spec = docs.sparkSession.sparkContext.broadcast((*files, pattern))
-    source = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).cast("binary").alias("text"))
-    ranged = source.repartitionByRange("key").sortWithinPartitions("key", "text")
+    source = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).cast("binary").alias("text")).withColumn("hash", F.xxhash64("text"))
+    # the hash parts a key that holds very many rows
+    ranged = source.repartitionByRange("key", "hash").sortWithinPartitions("key", "hash", "text").drop("hash")
     ranged.mapInArrow(tidy(_writer(spec, end_id, shard_bytes), keep_cache=True), "part int, shard int, tokens long, data binary").write.parquet(folder)
 
 

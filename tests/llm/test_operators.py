@@ -339,7 +339,8 @@ def test_token_files_of_null_and_repeated_keys_long_texts_and_an_empty_table(spa
     repair.write(spark.createDataFrame([(k, t, "en", "a", 1, "") for k, t in rows], SCHEMA), str(tmp_path / "files"), shard_bytes=1000)
     found = sorted((r.start, r.key, r.n_tokens, r.ids) for r in repair.read(spark, str(tmp_path / "files")).collect())
     at, told = 0, []
-    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(cast(t as binary)) as h").collect()}
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""])):
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
         told.append((at, key, len(ids), ids))
         at += len(ids)
