@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import bpe, chat, html_extract, iblt, mixing, patricia, repair, suffixes, superminhash, toxicity
+from lodestream.llm import bpe, chat, filter_audit, html_extract, iblt, mixing, patricia, repair, suffixes, superminhash, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op8_html": html_extract.op8_html,
         "op9_exact_dedup": patricia.op9_exact_dedup,
         "op10_fingerprints": iblt.op10_fingerprints,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op13_urls": url_filters.op13_urls,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_mixing": mixing.OP7_SQL,
         "op9_exact_dedup": patricia.OP9_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
+        "op13_urls": url_filters.OP13_SQL,
     }
