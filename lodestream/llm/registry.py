@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import bpe, chat, filter_audit, html_extract, iblt, mixing, patricia, repair, suffixes, superminhash, toxicity, url_filters
+from lodestream.llm import bpe, chat, filter_audit, html_extract, iblt, mixing, patricia, repair, runs, suffixes, superminhash, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_exact_dedup": patricia.op9_exact_dedup,
         "op10_fingerprints": iblt.op10_fingerprints,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_runs": runs.op12_runs,
         "op13_urls": url_filters.op13_urls,
     }
 
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.OP7_SQL,
         "op9_exact_dedup": patricia.OP9_SQL,
         "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_runs": runs.OP12_SQL,
         "op13_urls": url_filters.OP13_SQL,
     }

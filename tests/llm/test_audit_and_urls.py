@@ -15,7 +15,7 @@ DOCS = "doc_id long, text string, source string, key long, mask int, part string
 LABELS = "doc_id long, quality int, toxic int, good int"
 
 
-@pytest.mark.parametrize("name", ["op11_filter_audit", "op13_urls"])
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_runs", "op13_urls"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "labels", "pages"):
