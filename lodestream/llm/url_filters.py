@@ -30,6 +30,9 @@ from lodestream.session import cut
 #: Urls of a domain that one sweep takes, unless the domain has more rules than that.
 SWEEP = 256
 
+#: Domains with rules up to this many are joined to the urls by broadcast (some 60 bytes each); beyond, by a shuffle join.
+BROADCAST_DOMAINS = 20_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START, URL = 0, 1
 RESULTS = ("host", "path", "rule", "verdict")
@@ -88,6 +91,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
     listed = rules.groupBy("domain").agg(F.count("*").alias("rules"))
     counts = asked.groupBy("domain").agg(F.count("*").alias("urls")).join(listed, "domain")
     dealt = cut(counts.select("domain", F.ceil(F.col("urls") / F.greatest(F.lit(sweep), F.col("rules"))).cast("int").alias("sweeps")))
+    if dealt.count() <= BROADCAST_DOMAINS:
+        dealt = F.broadcast(dealt)
     asked = asked.join(dealt, "domain").withColumn("sweep", F.pmod(F.xxhash64("host", "path"), F.col("sweeps")).cast("int"))
     held = rules.join(dealt, "domain").withColumn("sweep", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1)))
     tops = _innermost(asked.select("domain", "host", "path", "sweep"), held.select("domain", "prefix", "verdict", "sweep"))
