@@ -10,10 +10,11 @@ no pair: if two sets are similar enough, so many of the rarest shingles of each
 only share what is common in the corpus don't meet. Every link is confirmed on the full sets before it counts.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing; with
-fewer words than a shingle takes, the whole sequence is one shingle; null identifiers are not linked, and take the
-component of an equal set if there is one; rows that repeat an identifier are expected to repeat its text, and each get
-its result; a component is named by its smallest identifier, so there are no ties; very long texts are hashed whole; an
-empty table gives an empty result; only the key and the text are read.
+fewer words than a shingle takes, the whole sequence is one shingle; rows with a null identifier are linked like others,
+and rows that repeat an identifier with another text are told apart by their texts; a component is named by its smallest
+identifier, null where no row of it has one, so there are no ties; of a component one row stays, with the smallest
+identifier (nulls last) and then the smallest text digest, and rows that repeat it in key and text stay with it; very long texts are hashed whole, and
+blocks are bounded in hashes as in rows; an empty table gives an empty result; only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm.bpe import slices
@@ -35,6 +36,8 @@ from lodestream.session import cut
 BANDS, ROWS = 20, 4
 #: Rows of a bucket that meet in one block; neighbours are taken within parts of this size, too.
 BLOCK = 512
+#: Hashes of a bucket that meet in one block, about (a single larger set is a part of its own).
+BLOCK_HASHES = 1 << 21
 #: Columns of the 0/1 matrices that count common hashes (at most BLOCK rows and those that seek, of 4 bytes each).
 COLUMNS = 8192
 
@@ -136,7 +139,7 @@ def superminhash(sets: list[np.ndarray], length: int) -> np.ndarray:
     return slots.reshape(len(sets), length)
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(width: int):
@@ -155,8 +158,8 @@ def _sign(width: int):
                 for k, i in enumerate(filled):
                     bands[i] = keys[k].view(np.int64)
                 content = [np.array([_mix(s).sum(), _mix(s + _P).sum()], np.uint64).tobytes() for s in sets]
-                ids = batch.column(0).slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
+                ids, digests = (batch.column(k).slice(part.start, part.stop - part.start) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, digests, pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
 
     return run
 
@@ -250,26 +253,27 @@ def _linked(percent: int):
 
 
 def _prefixes(counts: np.ndarray, percent: int):
-    """Rows (id, component, hashes) to (id, component, rare): as many of a set's rarest hashes as a similar set must share one of."""
+    """Rows (id, component, hashes) to (id, component, n, rare): as many of a set's rarest hashes as a similar set must share one of."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
-            rare = []
+            rare, sizes = [], []
             for i in range(batch.num_rows):
                 own = lists[i].values.to_numpy()
-                n = len(own)
+                sizes.append(n := len(own))
                 rare.append(own[np.lexsort((own, counts[own & (CELLS - 1)]))[: n - (percent * n + 99) // 100 + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rare, pa.list_(pa.int64()))], names=["id", "component", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["id", "component", "n", "rare"])
 
     return run
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Of keys (bucket) whose rows are in several components: rows, main (the largest component), seekers (rows outside of it)."""
-    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    found = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("rows"), F.max(F.struct("size", "component")).alias("main")).filter("parts > 1")
-    return found.select("bucket", "rows", F.col("main.component").alias("main"), (F.col("rows") - F.col("main.size")).alias("seekers"))
+    """Of keys (bucket) whose rows are in several components: parts for all rows and for seekers, main (the largest component; seekers are outside of it)."""
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"))
+    found = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("rows"), F.sum("hashes").alias("hashes"), F.max(F.struct("size", "component", "hashes")).alias("main")).filter("parts > 1")
+    parts = lambda rows, hashes: F.greatest(F.ceil(rows / BLOCK), F.ceil(hashes / BLOCK_HASHES)).cast("int")
+    return found.select("bucket", "rows", F.col("main.component").alias("main"), parts(F.col("rows"), F.col("hashes")).alias("rows_of"), parts(F.col("rows") - F.col("main.size"), F.col("hashes") - F.col("main.hashes")).alias("seekers_of"))
 
 
 def _open_blocks(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +281,7 @@ def _open_blocks(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: i
 
     Every two rows that share a bucket, are in different components and can be similar meet in a block.
     """
-    named = met.select("bucket", "id").join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = met.select("bucket", "id", "n").join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = cut(_mixed(named))
     left = named.join(open_.filter(F.col("rows") <= BLOCK), "bucket")
     if open_.filter(F.col("rows") > BLOCK).limit(1).count():
@@ -286,11 +290,10 @@ def _open_blocks(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: i
         counts = np.zeros(CELLS, np.int64)
         for r in crowd.select(F.explode("hashes").alias("h")).groupBy(F.expr(f"cast(h & {CELLS - 1} as int)").alias("cell")).count().collect():  # at most CELLS rows
             counts[r[0]] = r[1]
-        rare = crowd.mapInArrow(tidy(_prefixes(counts, percent)), "id long, component long, rare array<long>")
-        sharing = cut(rare.select(F.explode("rare").alias("bucket"), "id", "component"))
+        rare = crowd.mapInArrow(tidy(_prefixes(counts, percent)), "id long, component long, n long, rare array<long>")
+        sharing = cut(rare.select(F.explode("rare").alias("bucket"), "id", "component", "n"))
         left = left.unionByName(sharing.join(_mixed(sharing), "bucket"))
     left = left.withColumn("wanted", F.col("component") != F.col("main"))
-    left = left.withColumn("rows_of", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("seekers_of", F.ceil(F.col("seekers") / BLOCK).cast("int"))
     left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("rows_of")).cast("int")).withColumn("seeks", F.pmod(F.xxhash64("id", F.lit(2)), F.col("seekers_of")).cast("int"))
     # block (i, j) holds the i-th part of the rows and the j-th part of those that seek, so its size is bounded
     stands = "transform(sequence(0, seekers_of - 1), j -> named_struct('block', own * seekers_of + j, 'wanted', wanted and j = seeks))"
@@ -307,15 +310,28 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
-def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: key, n_shingles, component_id (the smallest reachable key, itself included)."""
-    source = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))
-    signed = cut(source.mapInArrow(tidy(_sign(width)), "id long, n long, content binary, bands array<long>"))
-    filled = signed.filter("n > 0 and id is not null")
+def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, text and the text's digest, by which rows without an identifier, or with one that others have, are found again."""
+    return docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"), _digest(text).alias("digest"))
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(whole_text(text), 256))
+
+
+def _rows(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Per row of docs: id, digest, n, component_id, and first: whether it is the row that stands for its component (rows without words all do)."""
+    source = _source(docs, key, text)
+    signed = cut(source.select("id", "text", "digest").mapInArrow(tidy(_sign(width)), "id long, digest binary, n long, content binary, bands array<long>"))
     # equal sets are one class, named by its smallest id
-    classes = filled.groupBy("n", "content").agg(F.min(F.struct("id", "bands")).alias("first")).select("n", "content", "first.*")
-    classes = cut(classes)
-    bucketed = classes.select("id", F.explode("bands").alias("bucket"))
+    least = F.min(F.struct(F.col("id").isNull(), "id", "digest", "bands"))
+    classes = cut(signed.filter("n > 0").groupBy("n", "content").agg(least.alias("first")).select("n", "content", "first.id", "first.digest", "first.bands"))
+    unnamed = classes.groupBy("id").agg(F.count("*").alias("times")).filter("times > 1 or id is null").limit(1).count() > 0
+    if unnamed:  # an id is missing, or two classes share one: all names are numbers that stand for nothing else
+        classes = cut(classes.withColumn("name", F.monotonically_increasing_id()))
+    else:
+        classes = classes.withColumn("name", F.col("id"))
+    bucketed = classes.select(F.col("name").alias("id"), "n", F.explode("bands").alias("bucket"))
     crowded = bucketed.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("rows")).filter("rows > 1")
     met = cut(bucketed.join(crowded, "bucket"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / BLOCK).cast("long"))
@@ -324,25 +340,36 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     near = lined.select(F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("id").alias("b")), F.struct(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")))).alias("p")).select("p.*")
     pairs = near.filter("a < b").distinct()
     # whatever else meets in a bucket is one of these, too
-    involved = met.select("id").distinct()
-    sets = cut(source.join(involved, "id", "left_semi").mapInArrow(tidy(_hashed_sets(width)), "id long, hashes array<long>").dropDuplicates(["id"]))
+    involved = met.select(F.col("id").alias("name")).distinct().join(classes, "name").select("name", F.col("id").alias("of"), F.col("digest").alias("text_of"))
+    texts = source.join(involved, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("text_of"))).select("name", "text")
+    sets = cut(texts.mapInArrow(tidy(_hashed_sets(width)), "id long, hashes array<long>").dropDuplicates(["id"]))
     links = cut(_confirm(pairs, sets, percent))
     grouped = components(links)
     dealt = _open_blocks(met, grouped, sets, percent)
     fresh = cut(dealt.mapInArrow(tidy(_linked(percent)), "a long, b long").distinct())
     if fresh.limit(1).count():
         grouped = components(links.unionAll(fresh))
-    leaders = classes.select("n", "content", F.col("id").alias("leader")).join(grouped.select(F.col("node").alias("leader"), "component"), "leader", "left").select("n", "content", F.coalesce("component", "leader").alias("component"))
+    leaders = classes.join(grouped.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    if unnamed:
+        heads = leaders.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest", "name")).alias("head"))
+        leaders = leaders.join(heads, "component").withColumn("component_id", F.col("head.id")).withColumn("heads", F.col("name") == F.col("head.name"))
+    else:
+        leaders = leaders.withColumn("component_id", F.col("component")).withColumn("heads", F.col("name") == F.col("component"))
+    leaders = leaders.select("n", "content", "component_id", "heads", F.col("id").alias("of"), F.col("digest").alias("text_of"))
     joined = signed.join(leaders, ["n", "content"], "left")
-    out = joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
-    return out.withColumnRenamed("id", key)
+    first = (F.col("n") == 0) | F.col("heads") & F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("text_of"))
+    return joined.select("id", "digest", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), first.alias("first"))
+
+
+def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs: key, n_shingles, component_id (the smallest reachable key, itself included)."""
+    return _rows(docs, key, text, width, percent).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that are their component's smallest key, with the columns of docs."""
-    groups = near_groups(docs, key=key, **how)
-    kept = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__near_key")).distinct()
-    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__near_key")), "left_semi")
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The row of docs that stands for its component, with the columns of docs; rows without words all stay."""
+    kept = _rows(docs, key, text, width, percent).filter("first").select(F.col("id").alias("__near_key"), F.col("digest").alias("__near_text")).distinct()
+    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__near_key")) & (_digest(text) == F.col("__near_text")), "left_semi")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def test_a_bucket_of_very_many_different_classes(spark):
         sets[2 * k + 1] = np.unique(np.concatenate([sets[2 * k][:-7], random_.integers(-(2**62), 2**62, 7)]))
     near = {(2 * k, 2 * k + 1) for k in range(40) if 100 * len(np.intersect1d(sets[2 * k], sets[2 * k + 1])) >= 85 * len(np.union1d(sets[2 * k], sets[2 * k + 1]))}
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "id long, hashes array<long>").repartition(4)
-    met = frame.select("id").withColumn("bucket", F.lit(1).cast("long"))
+    met = frame.select("id", F.size("hashes").cast("long").alias("n")).withColumn("bucket", F.lit(1).cast("long"))
     none = spark.createDataFrame([], "node long, component long")
     dealt = superminhash._open_blocks(met, none, frame, 85)
     assert dealt.count() < 3 * 5000

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestream.llm import bpe, mixing, toxicity
+from lodestream.llm import bpe, mixing, superminhash, toxicity
 
 from tests.llm.test_operators import brute_components
 
@@ -61,3 +61,15 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(*r, 9, "r", 9) for r in ODD], CLASHING)
     kept = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()))
     assert [k for known, k, _ in kept if known] == [1, 4, 5, 5, 6, 7] or [k for known, k, _ in kept if known] == [1, 4, 5, 6, 7]
+
+
+def test_near_dedup_decides_row_by_row(spark):
+    """Rows without an identifier, and rows that share one, are judged by their own texts."""
+    a, b, c = "one two three four five six seven eight nine ten", "red green blue white black grey pink brown gold tin", "x y z u v w p q r s"
+    rows = [(5, a), (None, a), (None, b), (None, f"{b} lead"), (7, c), (7, f"{c} t"), (7, "other words that nobody else has written so far"), (8, None), (None, ""), (9, f"{c} t")]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1, 9, "r", 9) for k, t in rows], CLASHING).repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()), key=repr)
+    first_c, first_b = [t for k, t in kept if k == 7 and t in (c, f"{c} t")], [t for k, t in kept if k is None and t]
+    assert len(first_c) == 1 and len(first_b) == 1 and first_b[0] in (b, f"{b} lead")
+    assert kept == sorted([(5, a), (None, first_b[0]), (7, first_c[0]), (7, rows[6][1]), (8, None), (None, "")], key=repr)
+    assert {r.component_id for r in superminhash.near_groups(docs).filter("doc_id = 9 or doc_id = 7").collect()} == {7}
