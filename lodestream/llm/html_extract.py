@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from lodestream.llm.tables import table
 
 _TOKEN = re.compile(
-    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"""
-    r"""|<([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""",
+    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+>"""
+    r"""|<([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>|</?[a-zA-Z][^>]*+\Z""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""")
@@ -164,6 +165,8 @@ def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag; with its ancestors: unseen, article; place in elements
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # the places in the stack of a tag, and under "" those of scopes
+    endless: set[str] = set()  # formulas' sources that no tag closes any more
     elements: list[Element] = [Element("", -1, 0, False, False, False, False, False, False)]  # the page
     within: list[int] = []  # the element of each block
     pieces: list[str] = []
@@ -192,9 +195,23 @@ def blocks(page: str) -> list[Block]:
         above = stack[-1][1:] if stack else (False, False, 0)
         unseen, furniture, named, article, main, readers = _marks(tag, attributes)
         titles = tag in HEADINGS and len(stack) > 1 and stack[-1][0] == "header" and stack[-2][2]
+        opened[tag].append(len(stack))
+        if tag in SCOPES:
+            opened[""].append(len(stack))
         stack.append((tag, above[0] or unseen, above[1] or article, len(elements)))
         elements.append(Element(tag, above[2], elements[above[2]].depth + 1, furniture, named, article, main, readers, titles))
 
+    def pop(place: int) -> None:
+        """Close the elements of the stack from this place on."""
+        for tag, *_ in stack[place:]:
+            opened[tag].pop()
+            if tag in SCOPES:
+                opened[""].pop()
+        del stack[place:]
+
+    def last(tag: str) -> int:
+        return opened[tag][-1] if opened[tag] else -1
+
     size = len(page)
     while at < size:
         found = _TOKEN.search(page, at)
@@ -219,19 +236,19 @@ def blocks(page: str) -> list[Block]:
             if tag in INLINE:
                 continue
             if tag in ("annotation", "annotation-xml"):  # a formula's source beside the formula
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = close.end() if close else at
+                close = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                else:
+                    endless.add(tag)
                 continue
             end_block()
             if tag in SELF_CLOSING:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag or tag in HEADINGS and stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPES:
-                        break
+                place = max(last(tag), last("p") if tag in HEADINGS else -1)
+                if place > last(""):
+                    pop(place)
             elif stack and stack[-1][0] == "p":
-                stack.pop()
+                pop(len(stack) - 1)
             push(tag, attributes)
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -240,15 +257,12 @@ def blocks(page: str) -> list[Block]:
             tag = closing.lower()
             if tag == "a":
                 in_link = False
-            elif tag == "p" and not any(s[0] == "p" for s in stack):
+            elif tag == "p" and not opened["p"]:
                 end_block()
-            elif tag not in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        end_block()
-                        del stack[k:]
-                        in_link = False
-                        break
+            elif tag not in INLINE and opened[tag]:
+                end_block()
+                pop(last(tag))
+                in_link = False
     end_block()
     _judge(elements)
     for block, inner in zip(out, within):

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -72,3 +73,20 @@ def test_null_repeated_long_and_clashing_pages(spark):
     assert len(out) == len(rows) and by[1].text == by[2].text == "" and by[1].n_chars == 0
     assert by[3].text.count("\n") == 19_999 and by[None].text == "deep"
     assert html_extract.extract(frame.limit(0)).count() == 0
+
+
+ODD_PAGES = {
+    "an endless tag": "<p>hello</p><" + "a" * 1_000_000,
+    "endless declarations": "<p>hello</p>" + "<?" * 500_000,
+    "endless links": "<p>hello</p>" + "<a" * 500_000,
+    "closing tags of nothing": "<p>hello</p>" + "<div>" * 60_000 + "</p>" * 60_000 + "</nav>" * 60_000,
+    "items far below a list": "<p>hello</p><li><ul>" + "<nav>" * 60_000 + "<li></li>" * 50_000,
+    "sources that end nowhere": "<p>hello</p>" + "<annotation>" * 80_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD_PAGES))
+def test_odd_pages_of_a_megabyte_take_linear_time(name):
+    began = time.process_time()
+    html_extract.blocks(ODD_PAGES[name])
+    assert time.process_time() - began < 8  # seconds or hours
