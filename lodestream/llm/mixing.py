@@ -5,8 +5,10 @@ targets are shared out by weight under a cap, and every document is emitted floo
 one more copy with probability equal to the fraction, decided by a hash of its identifier.
 
 Defined cases: null text has size 0; the null source is a source of its own, ordered last; a source
-without words has target 0 and rate 0; an empty table gives an empty mix; repeated rows are separate
-documents that share one draw; extra columns pass through whatever their names.
+without words has target 0 and rate 0; sources of equal ratio of cap to weight stand in order of their names; an empty
+table gives an empty mix; repeated rows are separate documents that share one draw, but those without an identifier
+draw one by one, by their text and place in the table, so that a source of such rows comes near its target, too (the
+same for the same files); very long texts are counted whole; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from lodestream.session import cut
 BROADCAST_SOURCES = 20_000
 
 
-def draw(key: str, seed: str) -> Column:
-    """A number in [0, 1) fixed by the key and the seed: 52 bits of an md5."""
-    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f"/{seed}")))
+def draw(key: str, text: str, seed: str) -> Column:
+    """A number in [0, 1) fixed by the key and the seed: 52 bits of an md5. Without a key, by the text and the row's place."""
+    place = F.concat_ws("/", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.monotonically_increasing_id().cast("string"))
+    known = F.col(key).cast("string")
+    digest = F.md5(F.concat(F.when(known.isNull(), place).otherwise(known), F.lit(f"/{seed}")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
@@ -55,14 +59,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: Fraction,
 def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), cap: int = 2, seed: str = "mix") -> DataFrame:
     """Per row of docs: key, source, size, source_size, target, copies."""
     words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = cut(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words.alias("size")))
+    sizes = cut(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words.alias("size"), draw(key, text, seed).alias("draw")))
     targets = cut(source_targets(sizes, weights, share, cap))
     right = targets.select(F.col("source").alias("of"), "source_size", "target")
     if targets.count() <= BROADCAST_SOURCES:
         right = F.broadcast(right)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     joined = sizes.join(right, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    copies = (F.floor("rate") + (draw("key", seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    copies = (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     return joined.select("key", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
@@ -76,9 +80,9 @@ def mix(docs: DataFrame, *, key: str = "doc_id", **how) -> DataFrame:
     rates = cut(rates.select(F.col("source").alias("__mix_source"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0).alias("__mix_rate")))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    rated = docs.join(rates, F.col(source).cast("string").eqNullSafe(F.col("__mix_source")))
+    rated = docs.withColumn("__mix_draw", draw(key, text, seed)).join(rates, F.col(source).cast("string").eqNullSafe(F.col("__mix_source")))
     rate = F.col("__mix_rate")
-    copies = (F.floor(rate) + (draw(key, seed) < rate - F.floor(rate)).cast("long")).cast("int")
+    copies = (F.floor(rate) + (F.col("__mix_draw") < rate - F.floor(rate)).cast("long")).cast("int")
     return rated.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
