@@ -497,8 +497,9 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return _table(iter(out), result)
 
     by_group, ask, answer = grouped.groupBy("group"), _ddl(_ASK), _ddl(_TELL)
-    one = by_group.applyInArrow(grams, ask).groupBy("bucket").applyInArrow(lambda rows: tell(1, rows, other_documents), answer)
-    two = by_group.cogroup(one.groupBy("group")).applyInArrow(contexts, ask).groupBy("bucket").applyInArrow(lambda rows: tell(2, rows, partial(judged, hot=hot)), answer)
+    # answers are shuffled to their groups by exchanges that all later steps share, so no step runs twice
+    one = by_group.applyInArrow(grams, ask).groupBy("bucket").applyInArrow(lambda rows: tell(1, rows, other_documents), answer).repartition("group")
+    two = by_group.cogroup(one.groupBy("group")).applyInArrow(contexts, ask).groupBy("bucket").applyInArrow(lambda rows: tell(2, rows, partial(judged, hot=hot)), answer).repartition("group")
     both = one.unionAll(two)
     three = by_group.cogroup(both.groupBy("group")).applyInArrow(strings, ask).groupBy("bucket").applyInArrow(lambda rows: tell(3, rows, earlier_strings), answer)
     kept = by_group.cogroup(both.unionAll(three).groupBy("group")).applyInArrow(last, _ddl(result))

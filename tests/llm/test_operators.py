@@ -680,3 +680,20 @@ def test_chat_arguments_against_nested_schemas(spark):
     rows = [(1, 0, "system", json.dumps(tools)), (1, 1, "assistant", json.dumps({"tool_calls": calls}))]
     out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("kind = 'call'").collect()
     assert {r.call_id: r.problems for r in out} == {f"c{i}": p for i, (_, _, p) in enumerate(cases)}
+
+
+def test_rows_without_identifier_draw_one_by_one(spark):
+    rows = [(None, " ".join(["w"] * 50), "en", "abc"[i % 3], 1, "") for i in range(300)] + [(None, f"{i} " * 50, "en", "abc"[i % 3], 1, "") for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4).persist()
+    found = mixing.plan(docs).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(found) == 3 and all(abs(r.taken - r.target) < 0.15 * r.target for r in found)
+    mixed = mixing.mix(docs).groupBy("source").count().collect()
+    assert {r.source: r["count"] * 50 for r in mixed} == {r.source: r.taken for r in found}
+    docs.unpersist()
+
+
+def test_no_step_of_the_suffix_search_runs_twice(spark):
+    frame = suffixes.without_repeats(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), with_text=False)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert [plan.count(x) for x in ("FileScan parquet", "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow")] == [1, 4, 3]
