@@ -23,7 +23,7 @@ def scan(spark: SparkSession, root: str, *, extensions: list[str] | None = None,
     a file that is too large is listed with the status 'error' and why. Spark lists no empty files. Contents are not read (no column of them is).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    clean = F.regexp_replace(F.regexp_replace("path", r"^\w+:/+", "/"), "%20", " ")
+    clean = F.regexp_replace("path", r"^\w+:/+", "/")
     base = "/" + root.split(":", 1)[-1].lstrip("/") if "://" in root or root.startswith("file:") else root
     named = files.select(relative_path(clean, base).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("path").alias("url"))
     folders = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split("path", "/")) - 1))

@@ -118,3 +118,12 @@ def test_line_files_and_log_text(spark, tmp_path):
     assert (rows[0].id, rows[0].t, rows[0]._corrupt) == (3, "z", None) and rows[2]._corrupt == "broken" and rows[1].id is None
     logs = spark.createDataFrame([("2024-01-01 00:00:01", "info", "net", "two\nlines"), ("2024-01-01 00:00:00", "error", "db", "x")], "ts string, level string, category string, message string").withColumn("ts", F.to_timestamp("ts"))
     assert [r.value for r in files.log_text(logs).collect()] == ["2024-01-01T00:00:00.000 [ERROR] db: x", "2024-01-01T00:00:01.000 [INFO] net: two lines"]
+
+
+def test_names_that_look_encoded_are_files_of_their_own(spark, tmp_path):
+    names = ["a b.txt", "a%20b.txt", "a%25b.txt", "é+ü.txt"]
+    for n in names:
+        (tmp_path / n).write_text(n)
+    found = files.scan(spark, str(tmp_path))
+    assert sorted(r.path for r in found.collect()) == sorted(names)
+    assert {r.path: r.markdown for r in files.documents(found, str(tmp_path)).collect()} == {n: n for n in names}
