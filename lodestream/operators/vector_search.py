@@ -87,7 +87,7 @@ def _best_of(vectors: DataFrame, queries: DataFrame, k: int, dim: int, probed=No
     spark, out = vectors.sparkSession, None
     usable = _usable(vectors, dim, *(["cell"] if probed else []))
     for ids, matrix in _query_blocks(queries.filter(F.size("vector") == dim), dim):
-        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), matrix, probed(matrix) if probed else None))
+        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), matrix, probed(ids, matrix) if probed else None))
 
         def run(batches, sent=sent):
             names, block, meets = sent.value
@@ -173,7 +173,7 @@ def probe(celled: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int,
     Queries are broadcast in blocks of bounded size with the cells that each probes, so no row is shuffled to a cell.
     """
 
-    def probed(matrix: np.ndarray) -> np.ndarray:
+    def probed(ids: list, matrix: np.ndarray) -> np.ndarray:
         meets = np.zeros((len(matrix), len(centroids)), bool)
         np.put_along_axis(meets, np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probes], True, axis=1)
         return meets

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import vectors
 from lodestream.operators import chunking, text_search, vector_search
-from lodestream.plans import retrieval, sources, telemetry, upkeep  # noqa: F401
+from lodestream.plans import retrieval, sources, stored, telemetry, upkeep  # noqa: F401
 from lodestream.registry import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
