@@ -37,7 +37,7 @@ BANDS, ROWS = 20, 4
 #: Rows of a bucket that meet in one block; neighbours are taken within parts of this size, too.
 BLOCK = 512
 #: Hashes of a bucket that meet in one block, about (a single larger set is a part of its own).
-BLOCK_HASHES = 1 << 21
+BLOCK_HASHES = 1 << 22
 #: Columns of the 0/1 matrices that count common hashes (at most BLOCK rows and those that seek, of 4 bytes each).
 COLUMNS = 8192
 
