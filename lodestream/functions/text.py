@@ -65,6 +65,13 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
 
 
+def united(*lists: Column) -> Column:
+    """The entries of several lists in lower case, each once, in order of their first place; null lists and entries don't count."""
+    empty = F.array().cast("array<string>")
+    every = F.concat(*[F.coalesce(x, empty) for x in lists])
+    return F.array_distinct(F.transform(F.filter(every, lambda x: x.isNotNull()), lambda x: F.lower(x)))
+
+
 def listed(text: Column) -> Column:
     """The entries between commas and line ends, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[,\n]"), lambda x: F.trim(x)), lambda x: x != "")

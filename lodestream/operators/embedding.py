@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators import incremental
+from lodestream.operators.stored import Store, bucket_of
+from lodestream.session import cut
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Reranker = Callable[[str, list[str]], str]
@@ -53,6 +55,29 @@ def completed(passages: DataFrame, vectors: DataFrame, embedder: Embedder, *, mo
     return incremental.replaced(vectors, fresh, waiting, ["id"])
 
 
+def keep_completed(store: Store, passages: DataFrame, embedder: Embedder, *, model: str, buckets: int = 64, buckets_a_stride: int = 4, **how) -> int:
+    """Bring the store's table of vectors up to passages(id, text), stride by stride; how many strides had something to do.
+
+    Vectors are in buckets by identifier. A stride takes some buckets, embeds the passages in them that lack a vector of this model and
+    moves the store's marker, so a run that fails after k strides leaves k of them done, and the next run embeds the rest alone.
+    """
+    buckets, done = store.info.setdefault("vector_buckets", buckets), 0
+    spark = passages.sparkSession
+    placed = passages.select(bucket_of(buckets, "id").alias("bucket"), "id", "text")
+    kind = placed.schema["id"].dataType.simpleString()
+    for at in range(0, buckets, buckets_a_stride):
+        stride = list(range(at, min(at + buckets_a_stride, buckets)))
+        held = store.read("vectors", stride) if "vectors" in store else spark.createDataFrame([], f"bucket int, id {kind}, vector array<float>, model string")
+        waiting = cut(incremental.pending(placed.filter(F.col("bucket").isin(stride)), held, model))
+        if waiting.isEmpty():
+            continue
+        fresh = embed(waiting, embedder, model=model, **how).withColumn("bucket", bucket_of(buckets, "id")).select("bucket", "id", "vector", "model")
+        store.replace("vectors", fresh, waiting.select("bucket", "id"), ["id"])
+        store.commit()
+        done += 1
+    return done
+
+
 def order_from(reply: str, n: int) -> list[int]:
     """The order that a reply names, by numbers from 1: those in range, once each, then the rest as they stood."""
     named = dict.fromkeys(int(x) - 1 for x in re.findall(r"\d{1,9}", reply or "") if 0 < int(x) <= n)

@@ -28,3 +28,15 @@ def first_by(catalog: DataFrame, kind: str, by: list[str]) -> DataFrame:
     """Of each kind the entry that is greatest by these columns, ties by name."""
     order = Window.partitionBy(kind).orderBy(*[F.col(c).desc_nulls_last() for c in by], "name")
     return catalog.withColumn("__turn", F.row_number().over(order)).filter("__turn = 1").drop("__turn")
+
+
+def manifest_sizes(manifests: DataFrame) -> DataFrame:
+    """manifests(name, body) to (name, bytes, layers): the sizes that an OCI image manifest gives for its configuration and layers, summed.
+
+    A body that is no such JSON has 0 bytes and layers; sizes that are missing or negative count as 0.
+    """
+    read = F.from_json("body", "config struct<size: bigint>, layers array<struct<size: bigint>>")
+    known = lambda size: F.greatest(F.coalesce(size, F.lit(0)), F.lit(0))
+    layers = F.coalesce(F.col("read.layers"), F.array())
+    total = F.aggregate(layers, F.lit(0).cast("long"), lambda s, layer: s + known(layer["size"]))
+    return manifests.withColumn("read", read).select("name", (total + known(F.col("read.config.size"))).alias("bytes"), F.size(layers).alias("layers"))

@@ -1,6 +1,8 @@
 """Rollups over logs, samples and working sets, as windows over keys.
 
-Windows are partitioned by their key; where one key may hold most of the rows, last_of() first keeps each task's own last rows.
+Windows are partitioned by their key. Where only a key's last rows count, they are first kept by parts of the key, so that a key with most
+of the rows meets in one task as a few of them; running windows (rolling, history, shares) do gather a key's rows in one task, which sorts and
+spills them.
 """
 
 from __future__ import annotations
@@ -8,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of a key whose last rows are found apart.
+PARTS = 64
 LEVELS = ["debug", "info", "warning", "error"]
 
 
@@ -23,9 +27,12 @@ def last_of(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 
 def last_of_each(rows: DataFrame, n: int, key: list[str], order: list[str]) -> DataFrame:
-    """The n last rows of each key."""
-    turn = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("__turn", F.row_number().over(turn)).filter(F.col("__turn") <= n).drop("__turn")
+    """The n last rows of each key: of each of PARTS parts of it, then of those that are left."""
+    last = [F.col(c).desc() for c in order]
+    out = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
+    for by in ([*key, "__part"], key):
+        out = out.withColumn("__turn", F.row_number().over(Window.partitionBy(*by).orderBy(*last))).filter(F.col("__turn") <= n).drop("__turn")
+    return out.drop("__part")
 
 
 def rolling(rows: DataFrame, n: int, key: list[str], order: list[str], value: str) -> DataFrame:
@@ -35,6 +42,28 @@ def rolling(rows: DataFrame, n: int, key: list[str], order: list[str], value: st
     return rows.withColumn("mean", F.avg(value).over(last)).withColumn("most", F.max(value).over(last)).withColumn("change", F.col(value) - F.lag(value).over(ordered))
 
 
+def history(rows: DataFrame, n: int, key: list[str], order: list[str], value: str) -> DataFrame:
+    """Each row with the last n values of its key, itself included, oldest first; nulls are left out."""
+    last = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(n - 1), Window.currentRow)
+    return rows.withColumn("history", F.collect_list(value).over(last))
+
+
+def share_of_change(rows: DataFrame, key: list[str], order: list[str], part: str, whole: str) -> DataFrame:
+    """Each row with share: by how much a running counter grew since the key's row before, as a share of another's growth, between 0 and 1.
+
+    Null for a key's first row; 0 where the whole did not grow, as after a counter was set back.
+    """
+    before = Window.partitionBy(*key).orderBy(*order)
+    grown = F.col(whole) - F.lag(whole).over(before)
+    share = F.when(grown <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(part) - F.lag(part).over(before)) / grown)))
+    return rows.withColumn("share", F.when(grown.isNotNull(), share))
+
+
+def last_changes(rows: DataFrame, n: int, key: list[str], order: list[str], value: str) -> DataFrame:
+    """Of each key's changes of value the n last."""
+    return last_of_each(without_repeats(rows, key, order, value), n, key, order)
+
+
 def without_repeats(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """The rows whose value differs from the one before of the same key (nulls are values)."""
     before = Window.partitionBy(*key).orderBy(*order)

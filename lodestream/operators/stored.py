@@ -96,7 +96,13 @@ class Store:
         self.schemas[table] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def replace(self, table: str, fresh: DataFrame, touched: DataFrame, keys: list[str]) -> None:
-        """Rows of touched keys go, fresh rows come; only the buckets of touched keys (bucket, *keys) are read and written."""
+        """Rows of touched keys go, fresh rows come; only the buckets of touched keys (bucket, *keys) are read and written.
+
+        A table that is not there yet is made of the fresh rows.
+        """
+        if table not in self.tables:
+            self.write(table, fresh.repartition("bucket"))
+            return
         buckets = {r[0] for r in touched.select("bucket").distinct().collect()}  # bounded by the number of buckets
         if not buckets:
             return

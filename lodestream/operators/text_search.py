@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.text import tokens
 from lodestream.operators.vector_search import FOUND, SCORES, Best, ranked
+from lodestream.session import cut
 
 K1, B = 1.2, 0.75
 #: Pairs of a query and a term that are broadcast in one block of queries (12 bytes each, and the terms).
 BROADCAST_PAIRS = 2_000_000
-#: Terms of a batch of queries that are broadcast; beyond, the join is a shuffle.
+#: Queries whose rankings are fused at once.
+FUSED_QUERIES = 1024
+#: Pairs of a query and a term that are broadcast as a table; beyond, the joins are shuffles.
 BROADCAST_TERMS = 200_000
 
 
@@ -45,7 +48,8 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, f
     """
     asked = query_terms(queries, most)
     terms = asked.select("term").distinct()
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    # pairs of a query and a term are at least as many as terms, and what is broadcast
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     hint = F.broadcast if small else (lambda df: df)
     cut_up = docs.select("id", tokens(F.col("text")).alias("tokens"))
     sizes = cut_up.agg(F.count("*").alias("all"), F.sum(F.size("tokens")).alias("words"))
@@ -59,8 +63,8 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, f
     return scored.join(hint(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def _blocks(queries: DataFrame, most: int | None) -> Iterator[tuple[list, list[str], np.ndarray, np.ndarray]]:
-    """Queries in blocks of a bounded number of terms: their ids, the distinct terms, and the pairs of a term and a query, by term."""
+def _blocks(queries: DataFrame, most: int | None, at_once: int | None = None) -> Iterator[tuple[list, list[str], np.ndarray, np.ndarray]]:
+    """Queries in blocks of a bounded number of terms, and of queries if told: their ids, the distinct terms, and the pairs of a term and a query, by term."""
     ids: list = []
     lists: list[list[str]] = []
     held = 0
@@ -74,7 +78,7 @@ def _blocks(queries: DataFrame, most: int | None) -> Iterator[tuple[list, list[s
 
     asked = query_terms(queries, most).groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
     for r in asked.orderBy("query_id").toLocalIterator():
-        if ids and held + len(r[1]) > BROADCAST_PAIRS:
+        if ids and (held + len(r[1]) > BROADCAST_PAIRS or len(ids) == at_once):
             yield block()
             ids, lists, held = [], [], 0
         ids.append(r[0])
@@ -95,18 +99,15 @@ def _counted(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.nda
     return length, key // len(terms), key % len(terms), count
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, *, k1: float = K1, b: float = B, floor: float = 1e-6, most: int | None = None) -> DataFrame:
-    """The k best documents of each query by bm25(): (query_id, id, score, place).
+class _Block:
+    """A block of queries with the weights of their terms; scores batches of documents in tasks."""
 
-    One pass counts the asked terms' documents, a second one scores in tasks, by products of sparse matrices, and keeps
-    one running top k per query, so scores of other documents never leave their task.
-    """
-    spark, out = docs.sparkSession, None
-    cut_up = docs.select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("tokens"))
-    for ids, listed, term, query in _blocks(queries, most):
-        words = spark.sparkContext.broadcast(listed)
+    def __init__(self, cut_up: DataFrame, block: tuple, k1: float, b: float, floor: float):
+        ids, listed, term, query = block
+        sc = cut_up.sparkSession.sparkContext
+        self.words = words = sc.broadcast(listed)
 
-        def count(batches, words=words):
+        def count(batches):
             terms, total = pa.array(words.value, pa.string()), np.zeros(len(words.value) + 2, np.int64)
             for batch in batches:
                 length, _, held, _ = _counted(batch, terms)
@@ -115,43 +116,160 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, *, k1: float = K1, b:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "n"])
 
-        sums = cut_up.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per asked term
         total = np.zeros(len(listed) + 2, np.int64)
-        for r in sums:
+        for r in cut_up.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row per asked term
             total[r[0]] = r[1]
-        n_all, n_words = total[-2:].tolist()
-        idf = np.maximum(np.log((n_all - total[:-2] + 0.5) / (total[:-2] + 0.5)), floor)
+        self.n_all, self.n_words = total[-2:].tolist()
+        idf = np.maximum(np.log((self.n_all - total[:-2] + 0.5) / (total[:-2] + 0.5)), floor)
         times = np.bincount(term, minlength=len(listed))
-        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), idf, query, np.cumsum(times) - times, times))
-
-        def score(batches, words=words, sent=sent, n_all=n_all, n_words=n_words):
-            names, weight, asking, first, times = sent.value
-            terms, best, step = pa.array(words.value, pa.string()), Best(len(names), k), max(1, SCORES // len(names))
-            for whole in batches:
-                for at in range(0, whole.num_rows, step):
-                    batch = whole.slice(at, step)
-                    length, document, held, count = _counted(batch, terms)
-                    part = weight[held] * (count * (k1 + 1) / (count + k1 * (1 - b + b * length[document] * n_all / n_words)))
-                    n = times[held]
-                    ends = np.cumsum(n)
-                    if not len(ends):
-                        continue
-                    met = asking[np.repeat(first[held] - (ends - n), n) + np.arange(ends[-1])]
-                    place = met * len(length) + np.repeat(document, n)
-                    scores = np.bincount(place, np.repeat(part, n), len(names) * len(length)).reshape(len(names), -1)
-                    hit = np.bincount(place, minlength=scores.size).reshape(scores.shape) > 0
-                    own = batch.column(0).to_numpy()
-                    for q in range(len(names)):
-                        here = np.flatnonzero(hit[q])
-                        best.add(q, np.round(scores[q, here], 6), own[here])
+        self.sent = sc.broadcast((np.array(ids, np.int64), idf, query, np.cumsum(times) - times, times))
+        self.k1, self.b = k1, b
+
+    def scores(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By slices of documents: scores (queries by documents), how many terms each shares, and the documents' ids."""
+        names, weight, asking, first, times = self.sent.value
+        terms, step = pa.array(self.words.value, pa.string()), max(1, SCORES // len(names))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                length, document, held, count = _counted(batch, terms)
+                part = weight[held] * (count * (self.k1 + 1) / (count + self.k1 * (1 - self.b + self.b * length[document] * self.n_all / self.n_words)))
+                n = times[held]
+                ends = np.cumsum(n)
+                if not len(ends):
+                    continue
+                met = asking[np.repeat(first[held] - (ends - n), n) + np.arange(ends[-1])]
+                place = met * len(length) + np.repeat(document, n)
+                scores = np.bincount(place, np.repeat(part, n), len(names) * len(length)).reshape(len(names), -1)
+                yield np.round(scores, 6), np.bincount(place, minlength=scores.size).reshape(scores.shape), batch.column(0).to_numpy()
+
+
+def _add(best: Best, scores: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
+    """The hits among scores (queries by documents) that may enter."""
+    near = hit & (scores >= best.least[:, None])
+    for q in np.flatnonzero(near.any(1)).tolist():
+        here = np.flatnonzero(near[q])
+        best.add(q, scores[q, here], ids[here])
+
+
+def _token_lists(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("tokens"))
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, *, k1: float = K1, b: float = B, floor: float = 1e-6, most: int | None = None) -> DataFrame:
+    """The k best documents of each query by bm25(): (query_id, id, score, place).
+
+    One pass counts the asked terms' documents, a second one scores in tasks, by products of sparse matrices, and keeps
+    one running top k per query, so scores of other documents never leave their task.
+    """
+    cut_up, out = _token_lists(docs), None
+    for made in _blocks(queries, most):
+        block = _Block(cut_up, made, k1, b, floor)
+
+        def top(batches, block=block):
+            names = block.sent.value[0]
+            best = Best(len(names), k)
+            for scores, shared, ids in block.scores(batches):
+                _add(best, scores, shared > 0, ids)
             yield best.batch(names)
 
-        found = cut_up.filter("id is not null").mapInArrow(score, FOUND)
+        found = cut_up.filter("id is not null").mapInArrow(top, FOUND)
         out = found if out is None else out.unionAll(found)
-    out = spark.createDataFrame([], FOUND) if out is None else out
+    out = docs.sparkSession.createDataFrame([], FOUND) if out is None else out
     return ranked(out, k).select("query_id", "id", "score", (F.col("rank") - 1).alias("place"))
 
 
+def ahead(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, own_ids: np.ndarray) -> np.ndarray:
+    """For each of own how many rows stand before it: with a greater score, or an equal one and a smaller id."""
+    kind = np.concatenate([np.ones(len(ids), bool), np.zeros(len(own_ids), bool)])
+    order = np.lexsort((kind, np.concatenate([ids, own_ids]), -np.concatenate([scores, own])))
+    before = np.cumsum(kind[order])
+    out = np.zeros(len(kind), np.int64)
+    out[order] = before
+    return out[len(ids) :]
+
+
+def fused_top(docs: DataFrame, queries: DataFrame, most: int, *, k: int = 60, depth: int = 400, k1: float = K1, b: float = B, floor: float = 1e-6) -> DataFrame:
+    """The first rows of the fusion of two whole rankings: BM25, and the number of distinct shared terms: (query_id, id, score, place).
+
+    Both rank the same documents, those that share a term with the query. The first `depth` of each are kept in the tasks; what is in
+    neither scores at most 2 / (k + depth), less than the `most`-th place of one ranking alone gives from depth = k + 2 * most on,
+    so every row of the result is among them. Of these, a row that is in one list only has a rank of at least depth in
+    the other: if even that could not bring it among the first, it goes; for the few others a second pass counts the rows that
+    stand before them. No ranking is ever sorted as a whole, and the result is that of the whole rankings.
+    """
+    depth = max(depth, k + 2 * most)
+    cut_up, out = _token_lists(docs), None
+    known = cut_up.filter("id is not null")
+    for made in _blocks(queries, None, FUSED_QUERIES):
+        block = _Block(cut_up, made, k1, b, floor)
+
+        def both(batches, block=block):
+            names = block.sent.value[0]
+            best = [Best(len(names), depth) for _ in range(2)]
+            for scores, shared, ids in block.scores(batches):
+                for own, by in zip(best, (scores, shared.astype(np.float64))):
+                    _add(own, by, shared > 0, ids)
+            for arm, own in enumerate(best):
+                rows = own.batch(names)
+                yield rows.append_column("arm", pa.array(np.full(rows.num_rows, arm, np.int32)))
+
+        order = Window.partitionBy("query_id", "arm").orderBy(F.col("score").desc(), "id")
+        tops = known.mapInArrow(both, f"{FOUND}, arm int").withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < depth)
+        arm = lambda of, column: F.max(F.when(F.col("arm") == of, F.col(column)))
+        tops = cut(tops.groupBy("query_id", "id").agg(arm(0, "rank").alias("r0"), arm(1, "rank").alias("r1")))
+        part = lambda rank: 1.0 / (k + rank)
+        least = F.coalesce(part(F.col("r0")), F.lit(0.0)) + F.coalesce(part(F.col("r1")), F.lit(0.0))
+        full = F.col("r0").isNotNull() & F.col("r1").isNotNull()
+        lower = tops.withColumn("least", least).withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("least").desc(), "id")))
+        bar = lower.filter(F.col("turn") == most).select("query_id", F.col("least").alias("bar"))
+        kept = lower.join(bar, "query_id", "left").filter(full | (F.col("least") + 1.0 / (k + depth) >= F.coalesce("bar", F.lit(0.0)) - 1e-9)).select("query_id", "id", "r0", "r1")
+        kept = cut(kept)
+        open_: dict[int, list[int]] = {}
+        for r in kept.filter("r0 is null or r1 is null").select("query_id", "id").collect():  # fewer than 2 * depth for each of at most FUSED_QUERIES queries
+            open_.setdefault(r[0], []).append(r[1])
+        if open_:
+            kept = _with_counted(known, block, kept, open_)
+        found = kept.select("query_id", "id", F.round(part(F.col("r0")) + part(F.col("r1")), 9).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    out = docs.sparkSession.createDataFrame([], FOUND) if out is None else out
+    return ranks(out, "place", most)
+
+
+def _with_counted(known: DataFrame, block: _Block, kept: DataFrame, open_: dict[int, list[int]]) -> DataFrame:
+    """kept(query_id, id, r0, r1) with the ranks that are missing, counted over all documents. open_: per query the ids in question."""
+    sc = known.sparkSession.sparkContext
+    asked = sc.broadcast({q: np.array(sorted(ids), np.int64) for q, ids in open_.items()})
+
+    def own_scores(batches):
+        """Both scores of the rows in question."""
+        names = block.sent.value[0]
+        for scores, shared, ids in block.scores(batches):
+            for q, name in enumerate(names.tolist()):
+                if name in asked.value and len(here := np.flatnonzero(np.isin(ids, asked.value[name]) & (shared[q] > 0))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), name)), pa.array(ids[here]), pa.array(scores[q, here]), pa.array(shared[q, here].astype(np.float64))], names=["query_id", "id", "s0", "s1"])
+
+    found: dict[int, list[tuple]] = {}
+    for r in known.mapInArrow(own_scores, "query_id long, id long, s0 double, s1 double").collect():  # the rows of open_
+        found.setdefault(r[0], []).append((r[1], r[2], r[3]))
+    told = sc.broadcast({q: tuple(np.array(c) for c in zip(*sorted(rows))) for q, rows in found.items()})
+
+    def count(batches):
+        names = block.sent.value[0]
+        sums = {q: np.zeros((2, len(rows[0])), np.int64) for q, rows in told.value.items()}
+        for scores, shared, ids in block.scores(batches):
+            for q, name in enumerate(names.tolist()):
+                if name in sums and len(here := np.flatnonzero(shared[q] > 0)):
+                    own_ids, s0, s1 = told.value[name]
+                    sums[name][0] += ahead(scores[q, here], ids[here], s0, own_ids)
+                    sums[name][1] += ahead(shared[q, here].astype(np.float64), ids[here], s1, own_ids)
+        for name, (c0, c1) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c0), name)), pa.array(told.value[name][0]), pa.array(c0), pa.array(c1)], names=["query_id", "id", "c0", "c1"])
+
+    counted = known.mapInArrow(count, "query_id long, id long, c0 long, c1 long").groupBy("query_id", "id").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return kept.join(counted, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("r0", "c0").alias("r0"), F.coalesce("r1", "c1").alias("r1"))
+
+
 def ranks(scored: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """The rank of each row within its query, from 0, best first, ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

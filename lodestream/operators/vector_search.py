@@ -19,6 +19,8 @@ from lodestream.functions.vectors import matrix_of, unit_rows
 
 #: Numbers in the query matrix that may be broadcast (8 bytes each); more queries are answered in several passes.
 BROADCAST_NUMBERS = 8_000_000
+#: Queries of one pass: with more of them a slice of scores would have too few rows to be worth a look at each query.
+MOST_QUERIES = 8192
 #: Scores that a task holds at a time.
 SCORES = 4_000_000
 #: Digits behind the point that scores are compared by.
@@ -29,7 +31,7 @@ SAMPLE_PER_CELL, MOST_SAMPLE, ROUNDS = 256, 100_000, 25
 
 def _query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[list, np.ndarray]]:
     """The queries' ids and unit vectors, in blocks of a bounded size."""
-    most = max(1, BROADCAST_NUMBERS // max(dim, 1))
+    most = max(1, min(MOST_QUERIES, BROADCAST_NUMBERS // max(dim, 1)))
     ids, rows = [], []
     for r in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator():
         ids.append(r[0])
@@ -52,6 +54,7 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k = k
+        self.least = np.full(queries, -np.inf)  # what a score has to reach
         self.scores = [np.zeros(0) for _ in range(queries)]
         self.ids = [np.zeros(0, np.int64) for _ in range(queries)]
 
@@ -69,6 +72,13 @@ class Best:
         scores, ids = np.concatenate([own, scores]), np.concatenate([self.ids[query], ids])
         order = np.lexsort((ids, -scores))[: self.k]
         self.scores[query], self.ids[query] = scores[order], ids[order]
+        if len(order) == self.k:
+            self.least[query] = self.scores[query][-1]
+
+    def add_all(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of rows by queries; only queries that some row may enter are looked at one by one."""
+        for q in np.flatnonzero((scores >= self.least).any(0)).tolist():
+            self.add(q, scores[:, q], ids)
 
     def batch(self, names: np.ndarray) -> pa.RecordBatch:
         sizes = [len(x) for x in self.ids]
@@ -97,9 +107,7 @@ def _best_of(vectors: DataFrame, queries: DataFrame, k: int, dim: int, probed=No
                     part = batch.slice(at, step)
                     own, rows = part.column(0).to_numpy(), unit_rows(matrix_of(part.column(1), dim))
                     if meets is None:
-                        scores = np.round(rows @ block.T, DIGITS)
-                        for q in range(len(names)):
-                            best.add(q, scores[:, q], own)
+                        best.add_all(np.round(rows @ block.T, DIGITS), own)
                         continue
                     cells = part.column(2).to_numpy()
                     for cell in np.unique(cells).tolist():
@@ -123,6 +131,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame
     return _best_of(vectors, queries, k, dim)
 
 
+def coverage(vectors: DataFrame, queries: DataFrame, dim: int, floor: float) -> DataFrame:
+    """Per query the best similarity to any vector (best) and how many reach floor (strong): maximum and count are kept in the tasks, no pair leaves them.
+
+    Queries that no vector can be compared with are left out.
+    """
+    spark, out = vectors.sparkSession, None
+    for ids, matrix in _query_blocks(queries.filter(F.size("vector") == dim), dim):
+        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), matrix))
+
+        def run(batches, sent=sent):
+            names, block = sent.value
+            best, strong, step = np.full(len(names), -np.inf), np.zeros(len(names), np.int64), max(1, SCORES // len(names))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    scores = np.round(unit_rows(matrix_of(batch.column(1).slice(at, step), dim)) @ block.T, DIGITS)
+                    best = np.maximum(best, scores.max(0))
+                    strong += (scores >= floor).sum(0)
+            some = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(best[some]), pa.array(strong[some])], names=["query_id", "best", "strong"])
+
+        part = _usable(vectors, dim).mapInArrow(run, "query_id long, best double, strong long")
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, best double, strong long")
+    return out.groupBy("query_id").agg(F.max("best").alias("best"), F.sum("strong").alias("strong"))
+
+
 def cells_for(vectors: int) -> int:
     """Cells of an inverted file over so many vectors: their root, within bounds that a broadcast of centroids allows."""
     return max(16, min(1 << 14, int(vectors**0.5)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions.vectors import cosine, dot, from_half, normalized, relevance, to_half
-from lodestream.operators import chunking, hybrid, text_search, vector_search
+from lodestream.functions.vectors import cosine, dot, from_half, norm, normalized, relevance, to_half
+from lodestream.operators import chunking, hybrid, matching, text_search, vector_search
 from lodestream.registry import register
 
 DIM = 64
@@ -66,17 +66,26 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     "vector_functions",
     f"""SELECT a.vec_id AS id, ROUND(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS product,
     ROUND(({_SIMILAR.format("a.embedding", "b.embedding")} + 1) / 2, 7) AS relevance,
-    ROUND(sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * 0 + 1, 6) AS length, TRUE AS half_is_near
+    ROUND(sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 6) AS length,
+    ROUND(CAST(a.embedding[1] AS DOUBLE) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 6) AS first_of_unit,
+    ROUND(list_sum(list_transform(CAST(a.embedding AS DOUBLE[]), lambda x: CASE WHEN abs(x) < 0.00006103515625 THEN round_even(x * 16777216, 0) / 16777216
+      ELSE round_even(x / pow(2, floor(log2(abs(x))) - 10), 0) * pow(2, floor(log2(abs(x))) - 10) END)), 6) AS half_sum
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1""",
 )
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector against the one before: product, relevance, length after normalising, and whether half precision keeps it."""
+    """Each vector against the one before: product, relevance, length, the first number after normalising, and the sum of its half-precision numbers."""
     vectors = _vectors(spark, sf_dir)
     before = vectors.select((F.col("id") + 1).alias("id"), F.col("vector").alias("before"))
     both = vectors.join(before, "id").withColumn("again", from_half(to_half("vector")))
-    near = F.forall(F.zip_with("vector", "again", lambda x, y: F.abs(x - y) <= F.greatest(F.abs(x) * 0.001, F.lit(1e-7))), lambda ok: ok)
-    unit = normalized(F.col("vector"))
-    return both.select("id", F.round(dot(F.col("vector"), F.col("before")), 6).alias("product"), F.round(relevance(F.round(cosine(F.col("vector"), F.col("before")), 6)), 7).alias("relevance"), F.round(F.sqrt(dot(unit, unit)), 6).alias("length"), near.alias("half_is_near"))
+    halves = F.aggregate("again", F.lit(0.0), lambda total, x: total + x.cast("double"))
+    return both.select(
+        "id",
+        F.round(dot(F.col("vector"), F.col("before")), 6).alias("product"),
+        F.round(relevance(F.round(cosine(F.col("vector"), F.col("before")), 6)), 7).alias("relevance"),
+        F.round(norm(F.col("vector")), 6).alias("length"),
+        F.round(F.get(normalized(F.col("vector")), F.lit(0)), 6).alias("first_of_unit"),
+        F.round(halves, 6).alias("half_sum"),
+    )
 
 
 _FOLDED = "lower(strip_accents(COALESCE(text, '')))"
@@ -110,12 +119,7 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
 )
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 fused with the number of shared terms, both rankings whole."""
-    docs, queries = _docs(spark, sf_dir), _benchmark(spark, sf_dir)
-    lexical = text_search.ranks(text_search.bm25(docs, queries), "rank")
-    terms = text_search.query_terms(queries)
-    met = docs.select("id", F.explode(F.array_distinct(text_search.tokens(F.col("text")))).alias("term"))
-    shared = met.join(F.broadcast(terms) if terms.limit(text_search.BROADCAST_TERMS + 1).count() <= text_search.BROADCAST_TERMS else terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("score"))
-    return text_search.fuse([lexical, text_search.ranks(shared, "rank")])
+    return text_search.fused_top(_docs(spark, sf_dir), _benchmark(spark, sf_dir), 10)
 
 
 _HYBRID = (
@@ -212,3 +216,14 @@ def history_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents have no headings, so their chunks are those of one section; sections are tested on fixtures."""
     return chunking.chunks(_docs(spark, sf_dir))
+
+
+@register(
+    "pattern_matches",
+    """WITH patterns AS (SELECT regexp_extract(text, '^[^ ]+ [^ ]+') AS pattern, MIN(item_id) AS place FROM benchmark WHERE text IS NOT NULL GROUP BY 1)
+    SELECT doc_id AS id, MIN(place) AS first, COUNT(*) AS matches FROM documents JOIN patterns ON contains(text, pattern) GROUP BY doc_id""",
+)
+def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents contain the first two words of an item, which item comes first, and of how many."""
+    patterns = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("pattern"), F.col("item_id").alias("place"))
+    return matching.contained(_docs(spark, sf_dir), patterns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators import rollups, vector_search
@@ -22,13 +22,41 @@ def log_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "rolling_samples",
-    """SELECT event_id, ROUND(AVG(value) OVER last + 1e-9, 6) AS mean, MAX(value) OVER last AS most, ROUND(value - LAG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS change
-    FROM events WINDOW last AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)""",
+    """WITH cents AS (SELECT *, CAST(ROUND(value * 100) AS BIGINT) AS cents FROM events)
+    SELECT event_id, AVG(cents) OVER last AS mean, MAX(cents) OVER last AS most, cents - LAG(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change
+    FROM cents WINDOW last AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)""",
 )
 def rolling_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sample with the mean and maximum of the last 48 of its user, and its change."""
-    out = rollups.rolling(table(spark, sf_dir, "events"), 48, ["user_id"], ["ts", "event_id"], "value")
-    return out.select("event_id", F.round(F.col("mean") + 1e-9, 6).alias("mean"), "most", F.round("change", 4).alias("change"))
+    """Every sample, in whole hundredths, with the mean and maximum of the last 48 of its user, and its change."""
+    cents = table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return rollups.rolling(cents, 48, ["user_id"], ["ts", "event_id"], "cents").select("event_id", "mean", "most", "change")
+
+
+@register("sample_history", "SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS history FROM events")
+def sample_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample with the last eight of its user, oldest first."""
+    return rollups.history(table(spark, sf_dir, "events"), 8, ["user_id"], ["ts", "event_id"], "value").select("event_id", "history")
+
+
+@register(
+    "busy_shares",
+    """WITH days AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) // 86400 AS day, COUNT(*) FILTER (event_type <> 'view') AS busy, COUNT(*) AS every FROM events GROUP BY ALL),
+    counters AS (SELECT user_id, day, SUM(busy) OVER w AS busy, SUM(every) OVER w AS every FROM days WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+    grown AS (SELECT user_id, day, busy - LAG(busy) OVER w AS b, every - LAG(every) OVER w AS e FROM counters WINDOW w AS (PARTITION BY user_id ORDER BY day))
+    SELECT user_id, day, ROUND(CAST(b AS DOUBLE) / CAST(e AS DOUBLE), 6) AS share FROM grown""",
+)
+def busy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two running counters of each user by day, all events and those that are no views, and the share by which the latter grew."""
+    days = table(spark, sf_dir, "events").groupBy("user_id", F.unix_date(F.to_date("ts")).cast("long").alias("day")).agg(F.count_if(F.col("event_type") != "view").alias("busy"), F.count("*").alias("every"))
+    running = Window.partitionBy("user_id").orderBy("day")
+    counters = days.withColumns({"busy": F.sum("busy").over(running), "every": F.sum("every").over(running)})
+    return rollups.share_of_change(counters, ["user_id"], ["day"], "busy", "every").select("user_id", "day", F.round("share", 6).alias("share"))
+
+
+@register("last_state_changes", "SELECT user_id, event_id, event_type FROM (SELECT *, LAG(event_type) OVER w AS b, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR event_type IS DISTINCT FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 4")
+def last_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last four changes of each user's type of event."""
+    return rollups.last_changes(table(spark, sf_dir, "events"), 4, ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
 
 
 @register("recent_history", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 40")
@@ -65,6 +93,4 @@ def session_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a session's held vectors (every ninth) answer a query without a search."""
     vectors = _vectors(spark, sf_dir)
     held = vectors.filter("id % 9 = 1")
-    # the held set of a session is bounded; all of it is scored
-    scored = vector_search.top_k(held, _queries(vectors), max(1, held.count()), DIM)
-    return rollups.coverage(scored, 0.35).select("query_id", "best", "strong", F.expr("strong >= 2 or best >= 0.45").alias("covered"))
+    return vector_search.coverage(held, _queries(vectors), DIM, 0.35).select("query_id", "best", "strong", F.expr("strong >= 2 or best >= 0.45").alias("covered"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,13 +14,22 @@ from lodestream.sources import formats
 
 #: Bytes of a file that is still read.
 MOST_BYTES = 64 << 20
+#: Files that are read by name; their names come to the driver.
+LISTED = 10_000
 _DOCUMENT = "markdown string, title string, tags array<string>, links array<string>, warnings array<string>"
 
 
-def scan(spark: SparkSession, root: str, *, extensions: list[str] | None = None, without_folders: list[str] = (), without_names: list[str] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
+def path_pattern(pattern: str) -> str:
+    """A pattern of paths as a regular expression: * and ? stay within a name, **/ is any folders or none, a last ** is all below."""
+    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "(?s)^" + "".join(parts.get(p) or re.escape(p) for p in re.split(r"(\*\*/|\*\*|\*|\?)", pattern) if p) + "$"
+
+
+def scan(spark: SparkSession, root: str, *, extensions: list[str] | None = None, without_folders: list[str] = (), without_names: list[str] = (), without_paths: list[str] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
     """Files below root: path (below root), name, kind (extension), size, modified, fingerprint, status, message, url.
 
-    Folders that begin with a dot or are left out by name, and names like those left out (SQL's % and _), are not listed;
+    Folders that begin with a dot or are left out by name, names like those left out (SQL's % and _), and paths that fit a pattern
+    (* for anything in a name, ** for any folders, ? for one character) are not listed;
     a file that is too large is listed with the status 'error' and why. Spark lists no empty files. Contents are not read (no column of them is).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
@@ -31,6 +41,8 @@ def scan(spark: SparkSession, root: str, *, extensions: list[str] | None = None,
     kept = named.filter(~F.exists(folders, lambda f: f.startswith(".") | f.isin(list(without_folders) or [""])) & ~F.col("name").startswith("."))
     for pattern in without_names:
         kept = kept.filter(~F.col("name").like(pattern))
+    for pattern in without_paths:
+        kept = kept.filter(~F.col("path").rlike(path_pattern(pattern)))
     if extensions is not None:
         kept = kept.filter(F.col("kind").isin([e.lower() for e in extensions]))
     large = F.col("size") > most_bytes
@@ -39,12 +51,24 @@ def scan(spark: SparkSession, root: str, *, extensions: list[str] | None = None,
     return kept.withColumn("fingerprint", file_fingerprint(F.col("size"), F.col("modified"))).withColumn("status", status).withColumn("message", message)
 
 
+def _contents(ready: DataFrame, root: str) -> DataFrame:
+    """url and content of the ready files. Up to LISTED of them are read by name and nothing else is; more, as on a first run, by a scan of the folder."""
+    spark = ready.sparkSession
+    urls = [r[0] for r in ready.select("url").limit(LISTED + 1).collect()]
+    reader = spark.read.format("binaryFile")
+    if not urls:
+        return spark.createDataFrame([], "url string, content binary")
+    if len(urls) <= LISTED:
+        found = reader.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", u) for u in urls])
+    else:
+        found = reader.option("recursiveFileLookup", "true").load(root)
+    return found.select(F.col("path").alias("url"), "content")
+
+
 def documents(scanned: DataFrame, root: str) -> DataFrame:
     """The scanned files that are ready with their document, status and message: a file that cannot be read as its format is read as text, with a warning."""
-    spark = scanned.sparkSession
     ready = scanned.filter("status = 'ready'").drop("status", "message")
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("url"), "content")
-    read = ready.join(contents, "url").select("path", "name", "kind", "size", "modified", "fingerprint", "content")
+    read = ready.join(_contents(ready, root), "url").select("path", "name", "kind", "size", "modified", "fingerprint", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,9 +85,12 @@ def documents(scanned: DataFrame, root: str) -> DataFrame:
     return out.withColumn("status", status).withColumn("message", F.array_join("warnings", "; "))
 
 
-def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON object per line; fields that are missing or of another type are null, lines that are no object are kept in _corrupt."""
-    return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+def read_lines(spark: SparkSession, path: str, schema: str, defaults: dict | None = None) -> DataFrame:
+    """One JSON object per line; fields that are missing or of another type are null, or their default; lines that are no object are kept in _corrupt."""
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    for name, value in (defaults or {}).items():
+        rows = rows.withColumn(name, F.coalesce(F.col(f"`{name}`"), F.lit(value).cast(rows.schema[name].dataType)))
+    return rows
 
 
 def write_lines(df: DataFrame, path: str) -> None:

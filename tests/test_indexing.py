@@ -84,3 +84,33 @@ def test_catalogue(spark):
     states = spark.createDataFrame([("", True, None, None), ("m", False, "m", True), ("m", True, None, None), ("m", True, "m", True), ("m", True, "m", None)], "w string, o boolean, n string, l boolean")
     assert [r.s for r in states.select(models.state(F.col("w"), F.col("o"), F.col("n"), F.col("l")).alias("s")).collect()] == ["none", "offline", "missing", "loaded", "ready"]
     assert {(r.kind, r.name) for r in models.first_by(catalog, "kind", ["size"]).collect()} == {("chat", "n"), ("embed", "p:13b")}
+
+
+def test_manifests_lists_and_paths(spark, tmp_path):
+    from lodestream.functions.text import united
+    from lodestream.sources import files
+
+    bodies = [("a", '{"config": {"size": 5}, "layers": [{"size": 10}, {"size": -3}, {}]}'), ("b", "no json"), ("c", None), ("d", '{"layers": []}')]
+    assert sorted(map(tuple, models.manifest_sizes(spark.createDataFrame(bodies, "name string, body string")).collect())) == [("a", 15, 3), ("b", 0, 0), ("c", 0, 0), ("d", 0, 0)]
+    lists = spark.createDataFrame([(["MD", "txt"], ["csv", "md", None]), (None, ["x"]), (None, None)], "a array<string>, b array<string>")
+    assert [r.u for r in lists.select(united(F.col("a"), F.col("b")).alias("u")).collect()] == [["md", "txt", "csv"], ["x"], []]
+    for p in ("a/b/c.md", "a/c.md", "c.md", "a/b.txt", "x/a/b.txt"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    kept = lambda *patterns: sorted(r.path for r in files.scan(spark, str(tmp_path), without_paths=list(patterns)).collect())
+    assert kept("a/*.md") == ["a/b.txt", "a/b/c.md", "c.md", "x/a/b.txt"] and kept("**/*.md") == ["a/b.txt", "x/a/b.txt"]
+    assert kept("a/**") == ["c.md", "x/a/b.txt"] and kept("?.md", "**/b.txt") == ["a/b/c.md", "a/c.md"]
+    (tmp_path / "l.json").write_text('{"a": 1, "b": "x"}\n{"b": 7}\nnot\n{"a": "no"}\n')
+    rows = files.read_lines(spark, str(tmp_path / "l.json"), "a int, b string", {"a": 9, "b": "none"}).collect()
+    assert [(r.a, r.b) for r in rows] == [(1, "x"), (9, "7"), (9, "none"), (9, "none")]
+
+
+def test_last_rows_of_a_hot_key(spark):
+    from lodestream.operators import rollups
+
+    rows = spark.createDataFrame([("hot" if i % 5 else f"k{i % 3}", i, f"v{i // 4}") for i in range(3000)], "k string, at int, v string").repartition(6)
+    found = sorted((r.k, r["at"]) for r in rollups.last_of_each(rows, 5, ["k"], ["at"]).collect())
+    every = sorted((r.k, r["at"]) for r in rows.collect())
+    assert found == sorted(x for k in ("hot", "k0", "k1", "k2") for x in [r for r in every if r[0] == k][-5:])
+    shares = spark.createDataFrame([("a", 1, 10, 100), ("a", 2, 15, 110), ("a", 3, 2, 5), ("a", 4, 9, 10)], "k string, t int, p int, w int")
+    assert [r.share for r in rollups.share_of_change(shares, ["k"], ["t"], "p", "w").orderBy("t").collect()] == [None, 0.5, 0.0, 1.0]
