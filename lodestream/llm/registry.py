@@ -31,7 +31,11 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat": chat.OP1_SQL,
+        "op3_minhash": superminhash.OP3_SQL,
+        "op6_suffix_dedup": suffixes.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
+        "op8_html": html_extract.OP8_SQL,
         "op9_exact_dedup": patricia.OP9_SQL,
         "op11_filter_audit": filter_audit.OP11_SQL,
         "op12_runs": runs.OP12_SQL,

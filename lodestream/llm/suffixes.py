@@ -508,3 +508,22 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+#: Every 50-byte string of every document, in hexadecimal digits.
+OP6_SQL = r"""
+WITH texts AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, length(h) // 2 AS n, p AS begun, substr(h, 2 * p + 1, 2 * (500 + 49)) AS part FROM (SELECT *, UNNEST(range(0, length(h) // 2, 500)) AS p FROM texts)),
+strings AS (SELECT doc_id, begun + i AS i, substr(part, 2 * i + 1, 100) AS s FROM (SELECT *, UNNEST(range(0, LEAST(500, n - 49 - begun))) AS i FROM pieces WHERE n - 49 > begun)),
+least AS (SELECT s, MIN(doc_id) AS first FROM strings GROUP BY s HAVING MIN(doc_id) < MAX(doc_id)),
+later AS (SELECT doc_id, i, COALESCE(i > 50 + LAG(i) OVER (PARTITION BY doc_id ORDER BY i), TRUE) AS opens FROM strings JOIN least USING (s) WHERE doc_id > first),
+numbered AS (SELECT doc_id, i, SUM(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM later),
+spans AS (SELECT doc_id, span, MIN(i) AS a, MAX(i) + 50 AS b FROM numbered GROUP BY ALL),
+between_ AS (
+  SELECT doc_id, span AS turn, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY span), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT doc_id, MAX(span) + 1, MAX(b), NULL FROM spans GROUP BY doc_id),
+rest AS (SELECT t.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (COALESCE(b, length(h) // 2) - a)), '' ORDER BY turn) AS kept FROM between_ JOIN texts t USING (doc_id) GROUP BY t.doc_id),
+sums AS (SELECT doc_id, SUM(b - a) AS n_removed, COUNT(*) AS n_spans FROM spans GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(kept, h))) AS kept_sha256
+FROM texts LEFT JOIN sums USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""

@@ -9,7 +9,7 @@ chance, and the number of steps is the one that is best on a part of the sample
 Since the softmax is linear, a word enters a document's logits by one number per class, which scoring caches per
 worker. Misspelt or unseen words share n-grams with known ones and so get their vectors.
 
-Defined cases: null and empty texts (and texts without a letter or digit) have no words and score the
+Defined cases: a row with a null identifier is held out, as no label is its own; null and empty texts (and texts without a letter or digit) have no words and score the
 model's prior; labels of unknown documents and null labels are ignored; without labels of both classes the
 score is 0 everywhere; repeated rows score alike, and each counts in the fit; very long texts are scored whole, and
 left out of the fit; an empty table gives an empty result; only the key and the text column are read, so other columns
@@ -296,8 +296,8 @@ def without_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshol
 
 
 def held_out(key: str = "doc_id"):
-    """Rows whose labels are never learnt from."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """Rows whose labels are never learnt from; those without an identifier are among them."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

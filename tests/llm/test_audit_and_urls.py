@@ -1,4 +1,4 @@
-"""The filter audit and the url rules against brute force, and against their SQL."""
+"""All queries against their SQL; the filter audit and the url rules against brute force."""
 
 import itertools
 import random
@@ -15,10 +15,10 @@ DOCS = "doc_id long, text string, source string, key long, mask int, part string
 LABELS = "doc_id long, quality int, toxic int, good int"
 
 
-@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_runs", "op13_urls"])
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     frame = queries()[name](spark, SF)
     columns = sorted(frame.columns)

@@ -697,3 +697,37 @@ def test_no_step_of_the_suffix_search_runs_twice(spark):
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert [plan.count(x) for x in ("FileScan parquet", "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow")] == [1, 4, 3]
+
+
+def brute_toxicity(text, model):
+    """The score of a text by loops over its words' n-grams, each hashed with Python's integers."""
+    mask, logits = (1 << 64) - 1, []
+    for chunk in text.lower().split():
+        letters = [i for i, c in enumerate(chunk) if c.isalnum()]
+        if not letters:
+            continue
+        word, gains = f"<{chunk[letters[0] : letters[-1] + 1]}>", []
+        for n in (3, 4, 5, 6):
+            for i in range(len(word) - n + 1):
+                h = 0
+                for c in word[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c) + 1) & mask
+                h = (h + n) * 0x9E3779B97F4A7C15 & mask
+                h = (h ^ h >> 29) * 0x9E3779B97F4A7C15 & mask
+                gains.append(float(np.float32(model.gain[(h >> 44) % toxicity.BUCKETS])))
+        logits.append(sum(gains) / len(gains) if gains else 0.0)
+    mean = sum(logits) / len(logits) if logits else 0.0
+    return 1 / (1 + np.exp(-(model.bias + model.scale * mean)))
+
+
+def test_toxicity_scores_equal_loops_over_ngrams(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
+    odd = spark.createDataFrame([(None, "une Fête!! x"), (None, None), (-1, "... -- !"), (-2, "a")], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(odd)
+    got = sorted(((r.doc_id, r.score) for r in toxicity.score(every, model).collect()), key=repr)
+    expected = sorted(((r.doc_id, brute_toxicity(r.text or "", model)) for r in every.collect()), key=repr)
+    assert [k for k, _ in got] == [k for k, _ in expected] and [s for _, s in got] == pytest.approx([s for _, s in expected], abs=1e-9)
+    marks = {r.doc_id: r.h for r in odd.select("doc_id", toxicity.held_out().alias("h")).collect()}
+    assert marks[None] is True and marks[-1] == (zlib.crc32(b"-1") % 5 == 0)
