@@ -4,8 +4,10 @@ The page is cut into blocks at block-level tags. A block has its word count and
 blocks before and after it, its share of the page's words, and what its ancestors say: furniture by tag or role,
 furniture by the whole words of their class and id names, article, heading. A decision tree, grown on the blocks of the
 small labelled pages below, tells main text from the rest; nothing else is dropped, and no length is capped.
+The pages are taken as they stand, without their names, and without any marks: on pages that say nothing of their parts the tree goes by
+link density, word counts and the neighbours' counts and densities.
 
-Defined cases: null and empty pages, and pages without main text, give the empty string; unclosed, stray and
+Defined cases: null identifiers are carried like others; null and empty pages, and pages without main text, give the empty string; unclosed, stray and
 overlapping tags are tolerated; references are decoded; an empty table gives an empty result; repeated rows
 are extracted alike; only the columns named are read, so other columns cannot clash.
 """
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -270,7 +273,7 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "share of the page", "page has an article", "tagged", "named", "article", "heading")
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "share of the page", "page has marks", "page has an article", "tagged", "named", "article", "heading")
 
 
 def features(found: list[Block]) -> list[tuple]:
@@ -278,11 +281,12 @@ def features(found: list[Block]) -> list[tuple]:
     density = [b.linked / b.words for b in found]
     plain = sum(b.words - b.linked for b in found if not (b.tagged or b.named)) or 1
     article = any(b.article and not (b.tagged or b.named) for b in found)
+    marks = article or any(b.tagged or b.named for b in found)
     out = []
     for i, b in enumerate(found):
         before = (found[i - 1].words, density[i - 1]) if i else (0, 0.0)
         after = (found[i + 1].words, density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        out.append((b.words, density[i], *before, *after, b.words / plain, int(article), int(b.tagged), int(b.named), int(b.article), b.heading))
+        out.append((b.words, density[i], *before, *after, b.words / plain, int(marks), int(article), int(b.tagged), int(b.named), int(b.article), b.heading))
     return out
 
 
@@ -337,45 +341,57 @@ LABELLED = [
 FACTORS = ((1, 1), (0.3, 1), (2.5, 1), (1, 0.4), (1, 3), (0.3, 3), (4, 0.5))
 
 
-def labelled_rows() -> list[tuple]:
-    """The features of the labelled pages' blocks, then 1 for main text."""
+def unnamed(page: str) -> str:
+    """A labelled page without class names."""
+    return re.sub(r" class=[\w-]+", "", page)
+
+
+def unmarked(page: str) -> str:
+    """A labelled page in which no element says what it is: only headings, paragraphs, lists and links are left."""
+    return re.sub(r"<(/?)(?:nav|footer|aside|header|article|section|form|main)\b[^>]*>", r"<\1div>", unnamed(page))
+
+
+def labelled_rows(*forms) -> list[tuple]:
+    """The features of the labelled pages' blocks, then 1 for main text; of the pages as they stand, or in other forms."""
     rows = []
     for main, rest in FACTORS:
         count = lambda m: max(1, round(int(m[2]) * (main if m[1] == "m" else rest)))  # noqa: B023, E731
         for page in LABELLED:
-            found = blocks(re.sub(r"\{([mx])(\d+)\}", lambda m: " ".join([m[1]] * count(m)), page))
-            rows += [(*f, int(b.text[0] == "m")) for f, b in zip(features(found), found)]
+            for form in forms or (str,):
+                found = blocks(re.sub(r"\{([mx])(\d+)\}", lambda m: " ".join([m[1]] * count(m)), form(page)))
+                rows += [(*f, int(b.text[0] == "m")) for f, b in zip(features(found), found)]
     return rows
 
 
-def grow(rows: list[tuple], depth: int = 8, least: int = 4):
+def grow(rows: list[tuple], depth: int = 8, least: int = 10):
     """A classification tree by Gini impurity: a leaf's class, or (feature, threshold, tree up to it, tree beyond).
 
     A leaf has at least so many rows.
     """
-    ones = sum(r[-1] for r in rows)
-    if depth == 0 or ones in (0, len(rows)):
-        return int(2 * ones > len(rows))
-
-    def impurity(side):
-        share = sum(r[-1] for r in side) / len(side)
-        return len(side) * share * (1 - share)
-
-    best = None
-    for k in range(len(rows[0]) - 1):
-        values = sorted({r[k] for r in rows})
-        for low, high in zip(values, values[1:]):
-            at = (low + high) / 2
-            left, right = [r for r in rows if r[k] <= at], [r for r in rows if r[k] > at]
-            if min(len(left), len(right)) < least:
-                continue
-            cost = impurity(left) + impurity(right)
-            if best is None or cost < best[0] - 1e-12:
-                best = (cost, k, at, left, right)
-    if best is None:
-        return int(2 * ones > len(rows))
-    _, k, at, left, right = best
-    return (k, at, grow(left, depth - 1, least), grow(right, depth - 1, least))
+    return _grown(np.array(rows, np.float64), depth, least)
+
+
+def _grown(rows: np.ndarray, depth: int, least: int):
+    n, ones = len(rows), int(rows[:, -1].sum())
+    best, major = (np.inf,), int(2 * ones > n)
+    if depth == 0 or ones in (0, n):
+        return major
+    for k in range(rows.shape[1] - 1):
+        order = np.argsort(rows[:, k], kind="stable")
+        value, left = rows[order, k], np.cumsum(rows[order, -1])[:-1]
+        size = np.arange(1, n)
+        cost = left * (1 - left / size) + (ones - left) * (1 - (ones - left) / (n - size))
+        fits = np.flatnonzero((value[1:] > value[:-1]) & (size >= least) & (n - size >= least))
+        if len(fits):
+            at = fits[cost[fits].argmin()]
+            if cost[at] < best[0] - 1e-9:
+                best = (cost[at], k, float((value[at] + value[at + 1]) / 2))
+    if len(best) == 1:
+        return major
+    _, k, at = best
+    below = rows[:, k] <= at
+    left, right = _grown(rows[below], depth - 1, least), _grown(rows[~below], depth - 1, least)
+    return left if left == right and isinstance(left, int) else (k, at, left, right)
 
 
 def decide(tree, row: tuple) -> int:
@@ -385,7 +401,13 @@ def decide(tree, row: tuple) -> int:
     return tree
 
 
-TREE = grow(labelled_rows())
+def whole_tree():
+    """The first question is whether the page says anything of its parts; the trees below are grown on the pages that do, and on those that don't."""
+    rows, k = labelled_rows(str, unnamed, unmarked), FEATURES.index("page has marks")
+    return (k, 0.5, grow([r for r in rows if not r[k]]), grow([r for r in rows if r[k]]))
+
+
+TREE = whole_tree()
 
 
 def main_text(page: str | None, tree=TREE) -> str:

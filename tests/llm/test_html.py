@@ -3,7 +3,9 @@
 import html
 import re
 import time
+from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from lodestream.llm import html_extract
@@ -90,3 +92,28 @@ def test_odd_pages_of_a_megabyte_take_linear_time(name):
     began = time.process_time()
     html_extract.blocks(ODD_PAGES[name])
     assert time.process_time() - began < 8  # seconds or hours
+
+
+def article_words(page):
+    body = re.sub(r'<div class="ad">.*?</div>', " ", re.search(r"<article>(.*?)</article>", page, re.S)[1], flags=re.S)
+    return html.unescape(re.sub(r"<[^>]*>", " ", body)).split()
+
+
+def test_given_pages_with_and_without_their_marks():
+    """With their marks the given pages give their article; without any, nearly its words: counts and densities decide there."""
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    shares = []
+    for page in pages:
+        wanted = article_words(page)
+        assert html_extract.main_text(page).split() == wanted
+        bare = re.sub(r"<(/?)(?:nav|footer|article)\b[^>]*>", r"<\1div>", page).replace(' class="ad"', "")
+        got = Counter(html_extract.main_text(bare).split())
+        shares.append(2 * sum((got & Counter(wanted)).values()) / max(1, sum(got.values()) + len(wanted)))
+    assert sum(shares) / len(shares) > 0.95
+
+
+def test_upper_nodes_on_pages_without_marks_are_counts_and_densities():
+    k, _, bare, _ = html_extract.TREE
+    assert html_extract.FEATURES[k] == "page has marks"
+    upper = [bare[0], *(side[0] for side in bare[2:] if isinstance(side, tuple))]
+    assert {html_extract.FEATURES[f] for f in upper} <= {"words", "density", "words before", "density before", "words after", "density after"}
