@@ -17,11 +17,15 @@ size, and a group folds what it holds twice before it ships anything. Then:
    the edge of one suffix's share is compared under the next one's. Contexts of a gram with more than HOT different
    ones are cut into single strings, dealt by each string's hash, so no bucket gathers all of them.
 
+Buckets and groups both grow with the input, so what a group asks of them travels in at most LANES rows, one for
+all buckets of a lane, and a lane's answers to a group are gathered before they go back: the rows that are shuffled grow with the input,
+not with its square.
+
 Strings are compared byte by byte in step 3; whole contexts in step 2 by 96 bits of two hashes, within a bucket.
 
 Defined cases: null text counts as empty; null identifiers rank after all others and do not shadow each other, nor
 do rows with the same identifier; texts shorter than LENGTH keep all bytes; repeated rows each get their result;
-long texts are a group of their own and are hashed in pieces; an empty table gives an empty result; only the key and
+long texts are hashed in pieces (a text shares its group with others, by a hash, and a group is held whole); an empty table gives an empty result; only the key and
 the text are read, so other columns cannot clash.
 """
 
@@ -43,11 +47,12 @@ from lodestream.llm.workers import give_back, tidy
 
 #: Bytes of a string, and of the grams whose hashes choose the sampled suffix.
 LENGTH, GRAM = 50, 24
-#: Bytes of text in one group of documents (a longer one is a group of its own), in the smallest ones, and
-#: positions that are hashed at a time.
+#: Bytes of text in one group of documents on average, in the smallest ones, and positions that are hashed at a time.
 GROUP_BYTES, LEAST_GROUP, CHUNK = 4 << 20, 256 << 10, 1 << 18
 #: Bytes of text whose suffixes the splitters are drawn from, suffixes taken of one document, splitters at most.
 SAMPLE_BYTES, SAMPLE_EACH, SPLITTERS = 8 << 20, 1024, 4096
+#: Rows that a group asks with at most, and bytes of answers that a task holds before it hands them on.
+LANES, TOLD_BYTES = 1024, 16 << 20
 #: Different contexts of one gram from which they are cut into single strings.
 HOT = 4096
 
@@ -368,6 +373,51 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[f.type]}" for f in schema)
 
 
+_LISTS = [(k, pa.list_(pa.binary())) for k in "abc"]
+#: The same, many in a row.
+_ASKED = pa.schema([("lane", pa.int32()), ("group", pa.int32()), ("bucket", pa.list_(pa.int32())), *_LISTS, ("data", pa.list_(pa.binary()))])
+_TOLD = pa.schema([("group", pa.int32()), ("bucket", pa.list_(pa.int32())), ("step", pa.list_(pa.int32())), *_LISTS])
+_DDL |= {pa.list_(pa.int32()): "array<int>", pa.list_(pa.binary()): "array<binary>"}
+
+
+def _by_lane(rows: Iterator[tuple], lanes: int) -> pa.Table:
+    """What a group asks, rows of _ASK, in a row for each lane."""
+    held: dict[tuple, list[list]] = {}
+    for bucket, group, *rest in rows:
+        lists = held.setdefault((bucket % lanes, group), [[] for _ in range(5)])
+        for own, value in zip(lists, (bucket, *rest, *[None] * (4 - len(rest)))):
+            own.append(value)
+    return _table(((*key, *lists) for key, lists in held.items()), _ASKED)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's answers, rows of _TELL, in a row for each group; handed on whenever they are many."""
+    held: dict[int, list[list]] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        table = _table(((group, *lists) for group, lists in held.items()), _TOLD).combine_chunks()
+        held.clear()
+        return table.to_batches()[0]
+
+    for batch in batches:
+        size += batch.nbytes
+        for group, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            for own, value in zip(held.setdefault(group, [[] for _ in range(5)]), rest):
+                own.append(value)
+        if held and size > TOLD_BYTES:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _apart(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of lists, brought together by their key, as single rows again."""
+    lists = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, F.inline(F.arrays_zip(*lists)))
+
+
 def _pad(rows: Iterator[tuple], schema: pa.Schema) -> pa.Table:
     return _table(((*r, *[None] * (len(schema) - len(r))) for r in rows), schema)
 
@@ -393,7 +443,7 @@ def _ranges(source: DataFrame, size: int, buckets: int) -> Ranges:
     return Ranges(splitters, math.ceil(buckets / n))
 
 
-def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_text: bool = True, group_bytes: int | None = None, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_text: bool = True, group_bytes: int | None = None, hot: int = HOT, lanes: int = LANES) -> DataFrame:
     """Per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the bytes that stay (kept)."""
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).cast("binary").alias("text"))
@@ -406,17 +456,17 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     grouped = source.withColumn("group", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int"))
 
     def grams(rows: pa.Table) -> pa.Table:
-        return _pad(Group(rows, ranges).grams(), _ASK)
+        return _by_lane(Group(rows, ranges).grams(), lanes)
 
     def contexts(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows or not answers.num_rows:
-            return _table(iter(()), _ASK)
+            return _table(iter(()), _ASKED)
         group = Group(rows, ranges)
-        return _pad(group.contexts(answers).rows(group.name), _ASK)
+        return _by_lane(group.contexts(answers).rows(group.name), lanes)
 
     def strings(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows or not answers.num_rows:
-            return _table(iter(()), _ASK)
+            return _table(iter(()), _ASKED)
         group = Group(rows, ranges)
         found = group.contexts(answers)
         bits = found.verdicts(answers)
@@ -448,7 +498,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             data = group.raw[np.repeat(start[at] - (ends - length), length) + np.arange(ends[-1])]
             # number and place of a context travel together
             out.append((b, group.name, (held[at] << 5 | shift[at]).tobytes(), length.astype(np.uint8).tobytes(), found.low[held[at]].tobytes(), data.tobytes()))
-        return _table(iter(out), _ASK)
+        return _by_lane(iter(out), lanes)
 
     def tell(step: int, rows: pa.Table, found) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
@@ -496,13 +546,24 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             at = end
         return _table(iter(out), result)
 
-    by_group, ask, answer = grouped.groupBy("group"), _ddl(_ASK), _ddl(_TELL)
-    # answers are shuffled to their groups by exchanges that all later steps share, so no step runs twice
-    one = by_group.applyInArrow(grams, ask).groupBy("bucket").applyInArrow(lambda rows: tell(1, rows, other_documents), answer).repartition("group")
-    two = by_group.cogroup(one.groupBy("group")).applyInArrow(contexts, ask).groupBy("bucket").applyInArrow(lambda rows: tell(2, rows, partial(judged, hot=hot)), answer).repartition("group")
-    both = one.unionAll(two)
-    three = by_group.cogroup(both.groupBy("group")).applyInArrow(strings, ask).groupBy("bucket").applyInArrow(lambda rows: tell(3, rows, earlier_strings), answer)
-    kept = by_group.cogroup(both.unionAll(three).groupBy("group")).applyInArrow(last, _ddl(result))
+    by_group = grouped.groupBy("group")
+
+    def told(asked: DataFrame, step: int, found) -> DataFrame:
+        """The answers of all buckets, shuffled to their groups by an exchange that all later steps share, so no step runs twice."""
+        by_bucket = _apart(asked.repartition("lane"), "lane", "group").select("lane", *_ASK.names).groupBy("lane", "bucket")
+        answers = by_bucket.applyInArrow(lambda rows: tell(step, rows, found), _ddl(_TELL))
+        return answers.mapInArrow(_by_group, _ddl(_TOLD)).repartition("group")
+
+    def with_answers(*answers: DataFrame):
+        rows = answers[0]
+        for more in answers[1:]:
+            rows = rows.unionAll(more)
+        return by_group.cogroup(_apart(rows.repartition("group"), "group").select(*_TELL.names).groupBy("group"))
+
+    one = told(by_group.applyInArrow(grams, _ddl(_ASKED)), 1, other_documents)
+    two = told(with_answers(one).applyInArrow(contexts, _ddl(_ASKED)), 2, partial(judged, hot=hot))
+    three = told(with_answers(one, two).applyInArrow(strings, _ddl(_ASKED)), 3, earlier_strings)
+    kept = with_answers(one, two, three).applyInArrow(last, _ddl(result))
     return kept.withColumnRenamed("id", key)
 
 

@@ -731,3 +731,32 @@ def test_toxicity_scores_equal_loops_over_ngrams(spark):
     assert [k for k, _ in got] == [k for k, _ in expected] and [s for _, s in got] == pytest.approx([s for _, s in expected], abs=1e-9)
     marks = {r.doc_id: r.h for r in odd.select("doc_id", toxicity.held_out().alias("h")).collect()}
     assert marks[None] is True and marks[-1] == (zlib.crc32(b"-1") % 5 == 0)
+
+
+def test_messages_of_the_suffix_search_grow_with_the_input(spark):
+    """Groups and buckets both double with the input; the rows that are shuffled don't grow with their product."""
+    random_ = random.Random(2)
+
+    def shuffled(n):
+        rows = [(i, " ".join(random_.choice(WORDS) + str(random_.randint(0, 400)) for _ in range(60))) for i in range(n)]
+        frame = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False, group_bytes=1000, lanes=4)
+        frame.collect()
+        plan, total = [frame._jdf.queryExecution().executedPlan()], 0
+        while plan:
+            node = plan.pop()
+            name = node.nodeName()
+            if name == "AdaptiveSparkPlan":
+                plan.append(node.executedPlan())
+                continue
+            if "QueryStage" in name:
+                plan.append(node.plan())
+                continue
+            if name == "Exchange":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            if name != "ReusedExchange":
+                children = node.children()
+                plan += [children.apply(i) for i in range(children.size())]
+        return total
+
+    small, large = shuffled(60), shuffled(240)
+    assert 0 < small and large < 6 * small  # 4 times the input; with a message for each group and bucket it would be nearly 16 times
