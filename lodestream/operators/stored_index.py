@@ -164,6 +164,10 @@ class Index:
         dealt = sharded.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "term", "id")
         self.store.write("postings", dealt.mapInArrow(_encoded, POSTINGS), touched, within=("shard",))
         self.store.write("lengths", lengths.repartition("bucket"), touched)
+        sizes = {} if touched is None else {b: s for b, s in self.store.info.get("sizes", {}).items() if int(b) not in touched}
+        for r in self.store.read("lengths", touched).groupBy("bucket").agg(F.count("*"), F.sum("length")).collect():  # a row per part
+            sizes[str(r[0])] = [r[1], r[2]]
+        self.store.info["sizes"] = sizes
 
     def _commit(self) -> None:
         self.store.info |= {"parts": self.parts, "shards": self.shards}
@@ -195,8 +199,8 @@ class Index:
 
     def asked(self, terms: list[str]) -> DataFrame:
         """The rows of these terms: their folders alone are read, and within them the terms' row groups."""
-        wanted = self.spark.createDataFrame([(t,) for t in terms], "term string")
-        shards = [r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(self.shards)).cast("int")).distinct().collect()]  # at most the number of shards
+        wanted = self.spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))
+        shards = sorted({r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(self.shards)).cast("int")).collect()})  # a block's terms, which are here already
         rows = self.store.read("postings").filter(F.col("shard").isin(shards))
         return rows.filter(F.col("term").isin(terms)) if len(terms) <= LISTED_TERMS else rows.join(F.broadcast(wanted), "term", "left_semi")
 
@@ -204,7 +208,7 @@ class Index:
         """The k best documents of each query, as text_search.bm25_top: (query_id, id, score, place)."""
         out = None
         if "postings" in self.store:
-            n_all, n_words = self.store.read("lengths").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            n_all, n_words = (sum(s[k] for s in self.store.info["sizes"].values()) for k in (0, 1))
         for ids, terms, term, query in _blocks(queries, most) if "postings" in self.store else ():
             rows = self.asked(terms)
             frequency = np.zeros(len(terms), np.int64)
