@@ -169,24 +169,28 @@ def learn(symbols: np.ndarray, last: np.ndarray, terminals: int) -> tuple[Gramma
     return Grammar(terminals, np.concatenate([np.zeros((0, 2), np.uint32), *rules]), np.array(rounds, np.int64)), symbols, last
 
 
-def _narrow(symbols: np.ndarray) -> bytes:
-    if len(symbols) and int(symbols.max()) >= 1 << 8 * SYMBOL_BYTES:
-        raise ValueError("a shard with more symbols than its format holds")
-    return np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :SYMBOL_BYTES]).tobytes()
+def symbol_bytes(symbols: int) -> int:
+    """Bytes of a symbol in the file of a shard that has so many different ones: terminals and rules, which its head gives."""
+    return SYMBOL_BYTES if symbols <= 1 << 8 * SYMBOL_BYTES else 4
 
 
-def _wide(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // SYMBOL_BYTES, 4), np.uint8)
-    out[:, :SYMBOL_BYTES] = data.reshape(-1, SYMBOL_BYTES)
+def _narrow(symbols: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def _wide(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 4), np.uint8)
+    out[:, :width] = data.reshape(-1, width)
     return out.view("<u4").ravel()
 
 
 def pack(grammar: Grammar, keys: list, symbols: np.ndarray, per_doc: np.ndarray, tokens: np.ndarray) -> bytes:
     """A shard's file: sizes, rules by round, their lengths, keys, symbols and tokens of each document, symbols."""
     head = MAGIC + struct.pack("<IIIIQ", grammar.terminals, len(grammar.rules), len(grammar.rounds), len(keys), len(symbols))
+    width = symbol_bytes(grammar.terminals + len(grammar.rules))
     known = np.array([k is not None for k in keys], np.uint8)
     numbers = np.array([0 if k is None else k for k in keys], "<i8")
-    return b"".join([head, grammar.rounds.astype("<u4").tobytes(), _narrow(grammar.rules.ravel()), grammar.lengths()[grammar.terminals :].astype("<u4").tobytes(), known.tobytes(), numbers.tobytes(), per_doc.astype("<u8").tobytes(), tokens.astype("<u8").tobytes(), _narrow(symbols)])
+    return b"".join([head, grammar.rounds.astype("<u4").tobytes(), _narrow(grammar.rules.ravel(), width), grammar.lengths()[grammar.terminals :].astype("<u4").tobytes(), known.tobytes(), numbers.tobytes(), per_doc.astype("<u8").tobytes(), tokens.astype("<u8").tobytes(), _narrow(symbols, width)])
 
 
 class Shard:
@@ -205,13 +209,14 @@ class Shard:
             return out
 
         rounds = take("<u4", n_rounds).astype(np.int64)
-        rules = _wide(take("u1", 2 * n_rules * SYMBOL_BYTES)).reshape(-1, 2)
+        width = symbol_bytes(terminals + n_rules)
+        rules = _wide(take("u1", 2 * n_rules * width), width).reshape(-1, 2)
         self.grammar = Grammar(terminals, rules, rounds)
         self.length = np.concatenate([np.ones(terminals, np.int64), take("<u4", n_rules)])
         known, numbers = take("u1", n_docs), take("<i8", n_docs)
         self.keys = [int(k) if ok else None for k, ok in zip(numbers, known)]
         self.per_doc, self.tokens = take("<u8", n_docs).astype(np.int64), take("<u8", n_docs).astype(np.int64)
-        self.symbols = _wide(take("u1", n_symbols * SYMBOL_BYTES))
+        self.symbols = _wide(take("u1", n_symbols * width), width)
         self.first = np.cumsum(self.per_doc) - self.per_doc
 
     def ids(self, document: int, start: int = 0, stop: int | None = None) -> np.ndarray:

@@ -760,3 +760,14 @@ def test_messages_of_the_suffix_search_grow_with_the_input(spark):
 
     small, large = shuffled(60), shuffled(240)
     assert 0 < small and large < 6 * small  # 4 times the input; with a message for each group and bucket it would be nearly 16 times
+
+
+def test_a_shard_with_more_symbols_than_the_usual_width_holds(monkeypatch):
+    texts = [(prose(50) + " ") * 8 for _ in range(6)]
+    usual, _ = coder().shard(list(range(6)), texts, 2)
+    monkeypatch.setattr(repair, "SYMBOL_BYTES", 1)  # 256 symbols are too many for it
+    wide, _ = coder().shard(list(range(6)), texts, 2)
+    assert len(wide) > len(usual) and repair.symbol_bytes(257) == 4
+    shard, library = repair.Shard(wide), Tokenizer.from_file(repair.default_vocabulary())
+    for i, text in enumerate(texts):
+        assert shard.ids(i).tolist() == library.encode(text, add_special_tokens=False).ids + [2]
