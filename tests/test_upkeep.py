@@ -269,3 +269,40 @@ def test_coverage_and_many_queries_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(vector_search, "MOST_QUERIES", most)
         assert rows_of(vector_search.coverage(vectors, asked, 8, 0.4)) == sorted(expected, key=repr)
         assert rows_of(vector_search.top_k(vectors, asked, 7, 8)) == few
+
+
+# -- search in one call ----------------------------------------------------------------
+
+
+def test_search_composes_variants_reranking_and_neighbours(spark):
+    from lodestream.operators import hybrid, search
+
+    words = ["river", "bridge", "train", "town", "mayor", "flood", "boat", "rain"]
+    random_ = random.Random(8)
+    rows = [(i, f"f{i // 4}", i % 4, " ".join(random_.choice(words) for _ in range(5)), [random_.gauss(0, 1) for _ in range(4)]) for i in range(24)] + [(50, None, 0, "river lonely", None)]
+    passages = spark.createDataFrame(rows, "id long, group string, ordinal int, text string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, "river boat", [1.0, 0.0, 0.0, 0.0]), (2, "lonely", None), (3, None, None)], "query_id long, text string, vector array<double>")
+    texts, ids = {r[0]: r[3] for r in rows}, {(r[1], r[2]): r[0] for r in rows}
+
+    def expander(text):
+        if "lonely" in text:
+            raise OSError("away")
+        return ["flood rain", "mayor"] if text else []
+
+    variants = spark.createDataFrame([(100, "river boat", [1.0, 0.0, 0.0, 0.0]), (101, "flood rain", None), (102, "mayor", None), (200, "lonely", None)], "query_id long, text string, vector array<double>")
+    best = {}
+    for r in hybrid.retrieve(passages, variants, k=6, dim=4).collect():
+        key = (r.query_id // 100, r.id)
+        best[key] = max(best.get(key, 0), r.score)
+    expected = {}
+    for q in (1, 2):
+        order = sorted((i for n, i in best if n == q), key=lambda i: (-best[q, i], i))[:6]
+        order = [order[2], order[0], order[1], *order[3:]] if q == 1 else order
+        for place, i in enumerate(order):
+            group, ordinal = next((r[1], r[2]) for r in rows if r[0] == i)
+            near = [ids[group, o] for o in range(ordinal - 1, ordinal + 2) if (group, o) in ids] if group else [i]
+            expected[q, place] = (i, round(best[q, i], 9), "\n\n".join(texts[n] for n in near))
+    out = search.search(passages, asked, k=6, expander=expander, reranker=lambda query, found: "3, 1, 2" if query == "river boat" else "", window=3, dim=4)
+    assert {(r.query_id, r.place): (r.id, round(r.score, 9), r.context) for r in out.collect()} == expected
+    plain = search.search(passages, asked, k=6, dim=4).collect()
+    assert {r.query_id for r in plain} == {1, 2} and all(r.context for r in plain)
