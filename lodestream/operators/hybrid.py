@@ -15,10 +15,11 @@ from lodestream.operators import text_search, vector_search
 
 
 def first_groups(ranked: DataFrame, groups: int, *, key: str = "query_id", group: str = "group", rank: str = "place") -> DataFrame:
-    """The rows of each key's first so many distinct groups, in the order of their best ranked row."""
+    """The rows of each key's first so many distinct groups, in the order of their best ranked row; null is a group."""
     best = ranked.groupBy(key, group).agg(F.min(rank).alias("__best"))
     turn = best.withColumn("__turn", F.row_number().over(Window.partitionBy(key).orderBy("__best"))).filter(F.col("__turn") <= groups)
-    return ranked.join(turn.select(key, group), [key, group], "left_semi")
+    kept = turn.select(F.col(key).alias("__key"), F.col(group).alias("__group"))
+    return ranked.join(kept, (F.col(key) == F.col("__key")) & F.col(group).eqNullSafe(F.col("__group")), "left_semi")
 
 
 def first_of_group(ranked: DataFrame, *, key: str = "query_id", group: str = "group", rank: str = "place") -> DataFrame:
