@@ -48,7 +48,7 @@ def history(rows: DataFrame, n: int, key: list[str], order: list[str], value: st
     return rows.withColumn("history", F.collect_list(value).over(last))
 
 
-def share_of_change(rows: DataFrame, key: list[str], order: list[str], part: str, whole: str) -> DataFrame:
+def share_of_change(rows: DataFrame, key: list[str], order: list[str | Column], part: str, whole: str) -> DataFrame:
     """Each row with share: by how much a running counter grew since the key's row before, as a share of another's growth, between 0 and 1.
 
     Null for a key's first row; 0 where the whole did not grow, as after a counter was set back.
