@@ -80,7 +80,7 @@ def debounced(events: DataFrame, gap: str, key: list[str], time: str) -> DataFra
 def working_set(hits: DataFrame, capacity: int, *, session: str = "session", item: str = "item", score: str = "score", turn: str = "turn") -> DataFrame:
     """Per session its items with their best score and last turn, the capacity best of them: by score, then recency, then item."""
     kept = hits.groupBy(session, item).agg(F.max(score).alias("best"), F.max(turn).alias("last_turn"))
-    place = Window.partitionBy(session).orderBy(F.col("best").desc(), F.col("last_turn").desc(), item)
+    place = Window.partitionBy(session).orderBy(F.col("best").desc(), F.col("last_turn").desc(), F.col(item).asc_nulls_last())
     return kept.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= capacity)
 
 

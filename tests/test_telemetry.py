@@ -28,3 +28,8 @@ def against_sql(spark, folder, name, kind):
 @pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
 def test_busy_shares_at_the_edges_of_days(spark, tmp_path, kind):
     against_sql(spark, tmp_path, "busy_shares", kind)
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_working_sets_at_the_edges_of_days(spark, tmp_path, kind):
+    against_sql(spark, tmp_path, "working_sets", kind)
