@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import tokens
-from lodestream.operators.vector_search import FOUND, SCORES, Best, ranked
+from lodestream.operators.vector_search import FOUND, Best, ranked
 from lodestream.session import cut
 
 K1, B = 1.2, 0.75
 #: Pairs of a query and a term that are broadcast in one block of queries (12 bytes each, and the terms).
 BROADCAST_PAIRS = 2_000_000
+#: What a task holds at a time of tokens, of pairs of a query and a document's term (some 50 bytes each), and of scores.
+TOKENS, PAIRS, SCORES = 500_000, 1_000_000, 1_000_000
 #: Queries whose rankings are fused at once.
 FUSED_QUERIES = 1024
 #: Pairs of a query and a term that are broadcast as a table; beyond, the joins are shuffles.
@@ -88,6 +90,23 @@ def _blocks(queries: DataFrame, most: int | None, at_once: int | None = None) ->
         yield block()
 
 
+def _steps(ends: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most so many rows, and of at most so much of what the rows' running sums (from 0) tell; one row at least."""
+    at, last = 0, len(ends) - 1
+    while at < last:
+        stop = min(max(int(np.searchsorted(ends, ends[at] + most, "right")) - 1, at + 1), at + rows, last)
+        yield at, stop
+        at = stop
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' documents by about TOKENS tokens, so that what a task holds does not grow with the rows of a batch."""
+    for batch in batches:
+        length = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in _steps(np.concatenate([[0], np.cumsum(length)]), TOKENS, batch.num_rows):
+            yield batch.slice(a, b - a)
+
+
 def _counted(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the batch's documents: their lengths, then document, term and count of every asked term that they hold."""
     lists = batch.column(1)
@@ -109,7 +128,7 @@ class _Block:
 
         def count(batches):
             terms, total = pa.array(words.value, pa.string()), np.zeros(len(words.value) + 2, np.int64)
-            for batch in batches:
+            for batch in _slices(batches):
                 length, _, held, _ = _counted(batch, terms)
                 total[:-2] += np.bincount(held, minlength=len(terms))
                 total[-2:] += (len(length), length.sum())
@@ -129,19 +148,22 @@ class _Block:
         """By slices of documents: scores (queries by documents), how many terms each shares, and the documents' ids."""
         names, weight, asking, first, times = self.sent.value
         terms, step = pa.array(self.words.value, pa.string()), max(1, SCORES // len(names))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                length, document, held, count = _counted(batch, terms)
-                part = weight[held] * (count * (self.k1 + 1) / (count + self.k1 * (1 - self.b + self.b * length[document] * self.n_all / self.n_words)))
-                n = times[held]
+        for batch in _slices(batches):
+            length, document, held, count = _counted(batch, terms)
+            part = weight[held] * (count * (self.k1 + 1) / (count + self.k1 * (1 - self.b + self.b * length[document] * self.n_all / self.n_words)))
+            ids = batch.column(0).to_numpy()
+            start = np.searchsorted(document, np.arange(len(length) + 1))
+            pairs = np.concatenate([[0], np.cumsum(times[held])])[start]
+            for at, stop in _steps(pairs, PAIRS, step):
+                own, size = slice(start[at], start[stop]), stop - at
+                n = times[held[own]]
                 ends = np.cumsum(n)
                 if not len(ends):
                     continue
-                met = asking[np.repeat(first[held] - (ends - n), n) + np.arange(ends[-1])]
-                place = met * len(length) + np.repeat(document, n)
-                scores = np.bincount(place, np.repeat(part, n), len(names) * len(length)).reshape(len(names), -1)
-                yield np.round(scores, 6), np.bincount(place, minlength=scores.size).reshape(scores.shape), batch.column(0).to_numpy()
+                met = asking[np.repeat(first[held[own]] - (ends - n), n) + np.arange(ends[-1])]
+                place = met * size + np.repeat(document[own] - at, n)
+                scores = np.bincount(place, np.repeat(part[own], n), len(names) * size).reshape(len(names), -1)
+                yield np.round(scores, 6), np.bincount(place, minlength=scores.size).reshape(scores.shape), ids[at:stop]
 
 
 def _add(best: Best, scores: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
