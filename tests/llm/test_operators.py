@@ -771,3 +771,12 @@ def test_a_shard_with_more_symbols_than_the_usual_width_holds(monkeypatch):
     shard, library = repair.Shard(wide), Tokenizer.from_file(repair.default_vocabulary())
     for i, text in enumerate(texts):
         assert shard.ids(i).tolist() == library.encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_the_suffix_search_makes_no_row_for_each_group_and_bucket(spark):
+    """58 groups and as many buckets: what they tell each other stays in rows for a group and lane, or a group and task."""
+    random_ = random.Random(3)
+    rows = [(i, " ".join(random_.choice(WORDS) + str(random_.randint(0, 400)) for _ in range(60))) for i in range(120)]
+    frame = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False, group_bytes=1000, lanes=4)
+    frame.collect()
+    assert "Generate" not in frame._jdf.queryExecution().executedPlan().toString()
