@@ -5,8 +5,11 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from lodestream.operators import text_search
+from lodestream.operators import hybrid, text_search
 
 
 def test_scores_of_many_pairs_are_made_in_bounded_slices():
@@ -27,16 +30,15 @@ def test_scores_of_many_pairs_are_made_in_bounded_slices():
     assert met == queries * documents and seen == list(range(documents)) and peak < 150 << 20
 
 
-def test_the_tasks_of_a_hybrid_search_hold_no_more_for_more_passages_of_a_batch(spark, monkeypatch):
-    """4000 passages, 100 queries of 50 terms that all of them have: 471 MB in a task when a batch's scores of words were made at once."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.classic.dataframe import DataFrame
+WORDS = " ".join(f"w{i}" for i in range(50))
 
-    from lodestream.operators import hybrid
 
+@pytest.fixture
+def watched(monkeypatch):
+    """Tasks that hold more than 150 MB in Python fail."""
     whole = DataFrame.mapInArrow
 
-    def watched(self, func, schema, *more, **named):
+    def limited(self, func, schema, *more, **named):
         def run(batches):
             tracemalloc.start()
             yield from func(batches)
@@ -46,10 +48,21 @@ def test_the_tasks_of_a_hybrid_search_hold_no_more_for_more_passages_of_a_batch(
 
         return whole(self, run, schema, *more, **named)
 
-    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
-    words = " ".join(f"w{i}" for i in range(50))
+    monkeypatch.setattr(DataFrame, "mapInArrow", limited)
+
+
+def test_the_tasks_of_a_hybrid_search_hold_no_more_for_more_passages_of_a_batch(spark, watched):
+    """4000 passages, 100 queries of 50 terms that all of them have: 471 MB in a task when a batch's scores of words were made at once."""
     vector = F.array(*[(F.col("id") % (i + 2)).cast("float") + 1 for i in range(64)])
-    passages = spark.range(0, 4000, 1, 1).select("id", (F.col("id") % 5).alias("group"), F.lit(words).alias("text"), vector.alias("vector"))
-    queries = spark.range(0, 100, 1, 1).select(F.col("id").alias("query_id"), F.lit(words).alias("text"), vector.alias("vector"))
+    passages = spark.range(0, 4000, 1, 1).select("id", (F.col("id") % 5).alias("group"), F.lit(WORDS).alias("text"), vector.alias("vector"))
+    queries = spark.range(0, 100, 1, 1).select(F.col("id").alias("query_id"), F.lit(WORDS).alias("text"), vector.alias("vector"))
     found = hybrid.retrieve(passages, queries, k=10).groupBy("query_id").agg(F.count("*").alias("n")).collect()
     assert sorted((r.query_id, r.n) for r in found) == [(q, 10) for q in range(100)]
+
+
+def test_the_tasks_of_a_ranking_by_words_hold_no_more_for_more_documents_of_a_batch(spark, watched):
+    """All documents are alike, so the smallest ids come first."""
+    docs = spark.range(0, 4000, 1, 1).select("id", F.lit(WORDS).alias("text"))
+    queries = spark.range(0, 100, 1, 1).select(F.col("id").alias("query_id"), F.lit(WORDS).alias("text"))
+    found = text_search.bm25_top(docs, queries, 20).select("query_id", "id", "place").collect()
+    assert sorted(map(tuple, found)) == [(q, i, i) for q in range(100) for i in range(20)]
