@@ -324,8 +324,9 @@ LABELLED = [
     "<div class=header>{x4}</div><div><p>{m24}</p><p>{m16}</p><p>{m18}</p></div><div class=sidebar><h3>{x2}</h3><p>{x110}</p></div><div class=footer>{x7}</div>",
     "<div><a href=1>{x2}</a></div><div><a href=1>{x4}</a></div><div>{m90}</div><div><a href=1>{x3}</a> {x1}</div><div>{x4}</div>",
     _PLAIN_MENU + "<h1>{m7}</h1><div>{m50}<br>{m40}</div><div>{m70}</div>" + _PLAIN_MENU + "<div>{x2}</div>",
-    # a menu before running text that ends the page
+    # a menu before running text that ends the page, also if its last block has most of the words
     _MENU + "<h1>{m5}</h1><p>{m40}</p><p>{m30}</p>",
+    _MENU + "<p>{m10}</p><p>{m90}</p>",
     # short pages
     "<p>{m5}</p><p>{m6}</p>",
     "<p>{m12}</p>",
